@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm.common import table
 from tabloom.llm.packing import best_two_fit
+from tabloom.llm.simhash import near_duplicates
 from tabloom.llm.token_counts import token_counts
 
 
@@ -22,6 +23,10 @@ def tokenizer(name: str) -> str:
     return str(Path(public_tokenizers.path(name)))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, seed=42, radius=4)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, size=2048)
 
@@ -31,6 +36,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
