@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm.common import table
 from tabloom.llm.packing import best_two_fit
+from tabloom.llm.sequence_files import token_files
 from tabloom.llm.simhash import near_duplicates
 from tabloom.llm.token_counts import token_counts
 
@@ -23,6 +24,10 @@ def tokenizer(name: str) -> str:
     return str(Path(public_tokenizers.path(name)))
 
 
+def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, seed=42, radius=4)
 
@@ -36,6 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_id_output": op2_token_id_output,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_token_counts": op10_token_counts,
