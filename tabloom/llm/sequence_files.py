@@ -150,7 +150,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, path: str, len
         shard = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col("id"))) if len(cuts) < 64 else F.expr(_search(cuts))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("shard", F.when(F.col("id").isNull(), F.lit(0)).otherwise(shard).cast("int"))
-    dealt = rows.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "id", "text")
+    dealt = rows.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "id", "text")
     schema = as_schema("shard int, docs bigint, ids bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
