@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabloom.llm import merkle
 from tabloom.llm.common import table
 from tabloom.llm.packing import best_two_fit
 from tabloom.llm.sequence_files import token_files
@@ -28,6 +29,10 @@ def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, seed=42, radius=4)
 
@@ -42,6 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_id_output": op2_token_id_output,
+    "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_token_counts": op10_token_counts,
