@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import merkle
+from tabloom.llm import merkle, rules
 from tabloom.llm.common import table
 from tabloom.llm.packing import best_two_fit
 from tabloom.llm.sequence_files import token_files
@@ -37,6 +37,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, seed=42, radius=4)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, size=2048)
 
@@ -49,8 +53,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_id_output": op2_token_id_output,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": rules.SQL,
+}
