@@ -8,8 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import licences, merkle, rules
+from tabloom.llm import licences, merkle, mixing, rules
 from tabloom.llm.common import table
+from tabloom.llm.html_text import main_text
 from tabloom.llm.packing import best_two_fit
 from tabloom.llm.sequence_files import token_files
 from tabloom.llm.simhash import near_duplicates
@@ -25,6 +26,10 @@ def tokenizer(name: str) -> str:
     return str(Path(public_tokenizers.path(name)))
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
@@ -45,6 +50,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(table(spark, sf_dir, "documents"))
 
@@ -54,16 +63,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_token_id_output": op2_token_id_output,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_html_main_text": op8_html_main_text,
     "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_source_mixing": mixing.SQL,
     "op5_quality_rules": rules.SQL,
     "op9_license_scans": licences.SQL,
 }
