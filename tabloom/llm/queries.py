@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm import licences, merkle, mixing, rules
 from tabloom.llm.common import table
+from tabloom.llm.cotraining import classified
 from tabloom.llm.html_text import main_text
 from tabloom.llm.packing import best_two_fit
 from tabloom.llm.sequence_files import token_files
@@ -50,6 +51,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_html_main_text": op8_html_main_text,
     "op9_license_scans": op9_license_scans,
     "op10_token_counts": op10_token_counts,
