@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import as_schema, rows_of
 
 #: Bounds of the labelled sample and the unlabelled pool (rows), rounds, and how sure a pseudo-label must be.
-LABELLED, POOL, ROUNDS, SURE = 8000, 8000, 4, 0.97
+LABELLED, POOL, ROUNDS, SURE = 8000, 8000, 4, 0.995
 #: New pseudo-labels of each class that a round may hand over.
 HANDED = 400
 #: A document is rejected below this score.
