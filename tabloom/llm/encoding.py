@@ -18,14 +18,17 @@ import numpy as np
 from tabloom.llm.common import WHITE
 
 #: Most pieces that one Python worker keeps, and the longest piece (characters) worth keeping.
-KEPT, KEPT_LENGTH = 900_000, 64
-#: A word, and at most one run of common punctuation behind it.
-_WORD = re.compile(r"[^\W\d_]+[.,;:!?]*")
+KEPT, KEPT_LENGTH = 800_000, 64
+#: Punctuation that may stand behind a word; a run of it is a pre-token of its own.
+_BEHIND = ".,;:!?"
 _RUN = re.compile(f"([{WHITE}]{{2,}})")
 
 
-def _plain_word(x: str) -> bool:
-    return bool(_WORD.fullmatch(x)) and x.rstrip(".,;:!?").isalpha()
+def _has_run(text: str) -> bool:
+    """Two white characters in a row are possible."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return True
+    return bool(_RUN.search(text)) if not text.isascii() or any(c in text for c in "\t\r\x0b\x0c") else False
 
 
 class PieceEncoder:
@@ -40,28 +43,31 @@ class PieceEncoder:
         #: White space is dropped by this tokenizer if it has no id of its own.
         self.drops_white = not self.library.encode(" \n ", add_special_tokens=False).ids
         special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.names = special
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         names = [self.library.id_to_token(n) or "" for n in range(self.vocab_size)]
         #: By id: the token ends a word (vocabularies with word ends), or begins with a space.
         self.closes = np.array([x.endswith("</w>") for x in names])
         self.opens = np.array([x.startswith("Ġ") for x in names])
         self.line_end = self.library.token_to_id("Ċ")
-        #: Ids of pieces without and with a space before them.
+        #: Ids of pieces without and with a space before them, and of their words without punctuation.
         self.kept: tuple[dict[str, bytes], dict[str, bytes]] = ({"": b""}, {})
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.marks: dict[str, bytes] = {"": b""}
 
     def lines(self, text: str) -> Iterator[list[str]]:
         """Lists of pieces whose ids, one after the other, are the ids of the text; all but the first of a list stand behind a space."""
         if self.drops_white:
             yield text.replace("\n", " ").split(" ")
             return
-        if self.special and self.special.search(text):
+        if any(x in text for x in self.names):
             for part in self.special.split(text):  # special strings come first, as ordinary white space rules end at them
                 yield from [[part]] if self.special.fullmatch(part) else self._plain(part)
         else:
             yield from self._plain(text)
 
     def _plain(self, text: str) -> Iterator[list[str]]:
-        parts = _RUN.split(text) if _RUN.search(text) else [text]
+        parts = _RUN.split(text) if _has_run(text) else [text]
         lead = ""
         for at, part in enumerate(parts):
             if at % 2:  # a run of white space: its last character may belong to the next word
@@ -80,35 +86,53 @@ class PieceEncoder:
 
     def _learn(self, texts: list[list[list[str]]]) -> tuple[dict[str, bytes], dict[str, bytes]]:
         """Encodes what isn't kept yet, and returns the two stores that hold all pieces of the texts."""
-        bare, behind = self.kept
-        new = {x for lines in texts for line in lines for x in line[:1] if x not in bare}
-        spaced = {x for lines in texts for line in lines for x in line[1:] if x not in behind}
+        first: set[str] = set()
+        later: set[str] = set()
+        for lines in texts:
+            for line in lines:
+                later.update(line)
+                first.add(line[0])
         if self.drops_white:
-            new, spaced = new | spaced, set()
-        if len(bare) + len(behind) + len(new) + len(spaced) > KEPT and len(bare) + len(behind) > 1:
-            bare.clear()
-            behind.clear()
-            bare[""] = b""
-            return self._learn(texts)
-        keep = (bare, behind)
-        if any(len(x) > KEPT_LENGTH for x in new | spaced):
-            keep = (dict(bare), dict(behind))  # long pieces are not kept
-        for store, found, lead in ((0, new, ""), (1, spaced, " ")):
-            for x, ids in self._encode([*found], lead):
-                keep[store][x] = ids
-                if keep[store] is not self.kept[store] and len(x) <= KEPT_LENGTH:
-                    self.kept[store][x] = ids
+            first, later = later, set()
+        if sum(map(len, self.kept)) > KEPT:
+            for store in (*self.kept, *self.words):
+                store.clear()
+            self.kept[0][""] = b""
+        keep = self.kept
+        new = (first.difference(keep[0]), later.difference(keep[1]))
+        if any(len(x) > KEPT_LENGTH for x in (*new[0], *new[1])):
+            keep = (dict(keep[0]), dict(keep[1]))  # long pieces are not kept
+        for n, lead in enumerate(("", " ")):
+            for x, ids in self._encode([*new[n]], lead, self.words[n]):
+                keep[n][x] = ids
+                if keep[n] is not self.kept[n] and len(x) <= KEPT_LENGTH:
+                    self.kept[n][x] = ids
         return keep
 
-    def _encode(self, found: list[str], lead: str, size: int = 4000) -> Iterator[tuple[str, bytes]]:
-        """The ids of each piece behind its lead. Plain words go through the library as one running text."""
-        plain = [x for x in found if _plain_word(x) and _plain_word(x.lower())]
-        for at in range(0, len(plain), size):
-            part = plain[at : at + size]
+    def _library(self, texts: list[str]) -> Iterator[bytes]:
+        return (np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _encode(self, found: list[str], lead: str, words: dict[str, bytes], size: int = 4000) -> Iterator[tuple[str, bytes]]:
+        """The ids of each piece behind its lead. Words that are new go through the library as one running text."""
+        plain, other = [], []
+        for x in found:
+            word = x.rstrip(_BEHIND)
+            if not word.isalpha() or len(x) > KEPT_LENGTH:
+                other.append(x)
+            elif word.isascii():
+                plain.append((x, word.lower() if self.drops_white else word, x[len(word) :]))
+            elif word.lower().isalpha():
+                plain.append((x, word, x[len(word) :]))
+            else:
+                other.append(x)
+        if marks := [*{m for _, _, m in plain}.difference(self.marks)]:
+            self.marks.update(zip(marks, self._library(marks), strict=True))
+        new = [*{w for _, w, _ in plain}.difference(words)]
+        for at in range(0, len(new), size):
+            part = new[at : at + size]
             whole = np.array(self.library.encode_batch_fast([self._running(part, lead)], add_special_tokens=False)[0].ids, np.uint32)
-            if self.drops_white:  # a word and the punctuation behind it end one pre-token each
-                ends = np.flatnonzero(self.closes[whole])[np.cumsum([1 + (not x[-1].isalpha()) for x in part]) - 1] + 1
-                bounds = [0, *ends.tolist()]
+            if self.drops_white:  # each word is one pre-token, and its last token closes it
+                bounds = [0, *(np.flatnonzero(self.closes[whole]) + 1).tolist()]
             elif lead:
                 bounds = [*np.flatnonzero(self.opens[whole]).tolist(), len(whole)]
             else:
@@ -116,23 +140,20 @@ class PieceEncoder:
                 whole = np.delete(whole, lines)
                 bounds = [0, *(lines - np.arange(len(lines))).tolist(), len(whole)]
             ids, width = whole.astype(self.dtype).tobytes(), self.dtype.itemsize
-            yield from ((x, ids[a * width : b * width]) for x, a, b in zip(part, bounds[:-1], bounds[1:], strict=True))
-        known = set(plain)
-        other = [x for x in found if x not in known]
+            for x, a, b in zip(part, bounds[:-1], bounds[1:], strict=True):
+                words[x] = ids[a * width : b * width]
+        tail = self.marks
+        yield from ((x, words[w] + tail[m]) for x, w, m in plain)
         for at in range(0, len(other), size):
             part = other[at : at + size]
-            for x, e in zip(part, self.library.encode_batch_fast([lead + x for x in part], add_special_tokens=False), strict=True):
-                yield x, np.array(e.ids, self.dtype).tobytes()
+            yield from zip(part, self._library([lead + x for x in part]), strict=True)
 
     def _running(self, part: list[str], lead: str) -> str:
         return " ".join(part) if self.drops_white else "".join([lead + x for x in part]) if lead else "\n".join(part)
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         cut = [[*self.lines(x)] for x in texts]
-        try:
-            return self._joined(cut, *self.kept)
-        except KeyError:
-            return self._joined(cut, *self._learn(cut))
+        return self._joined(cut, *self._learn(cut))
 
     def _joined(self, cut: list[list[list[str]]], bare: dict[str, bytes], behind: dict[str, bytes]) -> list[bytes]:
         if self.drops_white:

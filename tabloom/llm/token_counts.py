@@ -52,7 +52,7 @@ class MergeCounter:
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.words = regex.compile(PATTERN)
-        self.cutter = _Cutter(self.special)
+        self.cutter = _Cutter(self.special, special)
         #: Tokens of pieces without and with a space before them, and of pre-tokens.
         self.bare: dict[str, int] = {}
         self.behind: dict[str, int] = {}
@@ -127,8 +127,8 @@ class MergeCounter:
 class _Cutter(PieceEncoder):
     """Only the cut at white space, without the library."""
 
-    def __init__(self, special: re.Pattern | None):
-        self.drops_white, self.special = False, special
+    def __init__(self, special: re.Pattern | None, names: list[str]):
+        self.drops_white, self.special, self.names = False, special, names
 
 
 @functools.cache
