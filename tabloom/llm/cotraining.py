@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     found = drawn.select(F.xxhash64("_id").alias("h"), "_y", "text", "source", "lang").mapInArrow(run, ddl).collect()
     found.sort(key=lambda r: (r["h"], r["y"] is None, r["y"] or 0.0, r["content"], r["metadata"]))
-    a, b = (np.array([r[k] for r in found], np.float64).reshape(len(found), -1) for k in ("content", "metadata"))
+    a, b = (np.array([r[k] for r in found], np.float64).reshape(len(found), len(found[0][k]) if found else 0) for k in ("content", "metadata"))
     y = np.array([np.nan if r["y"] is None else r["y"] for r in found])
     own = ~np.isnan(y)
     return CoTrained(a[own], b[own], (y[own] > 0.5).astype(float), a[~own], b[~own], rounds)
