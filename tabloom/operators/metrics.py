@@ -42,6 +42,13 @@ def macro(df: DataFrame, y: str = "label", p: str = "prediction") -> DataFrame:
     return out.withColumn("f1_score", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
+def predicted(model, rows: DataFrame) -> DataFrame:
+    """rows with the model's prediction; what cannot predict is refused."""
+    if not hasattr(model, "transform"):
+        raise AttributeError(f"{type(model).__name__} cannot predict.")
+    return model.transform(rows)
+
+
 def _task(task: str) -> str:
     plain = (task or "").strip().lower()
     found = next((k for k in ("regression", "classification") if k in plain), None)
@@ -56,12 +63,12 @@ def evaluate(models: dict, rows: DataFrame, task: str, legacy: bool = False) ->
     kind = _task(task)
     for name, model in models.items():
         try:
-            predicted = model.transform(rows)
+            made = predicted(model, rows)
             if kind == "regression":
-                found = regression(predicted).first().asDict()
+                found = regression(made).first().asDict()
                 metrics = {"mae": found["mae"], "rmse": found["rmse"], "r2_score" if legacy else "r2": found["r2"]}
             else:
-                metrics = (macro if legacy else classification)(predicted).first().asDict()
+                metrics = (macro if legacy else classification)(made).first().asDict()
             results.append({"model_name": name, "model": model, "metrics": {k: float(v) for k, v in metrics.items()}, "status": "Completed"})
         except Exception as e:  # tolerated, as one model must not stop the others
             errors.append({"model_name": name, "error": str(e)})

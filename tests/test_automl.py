@@ -37,6 +37,25 @@ def test_xlsx(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [(1, "x", None), (2, "y", 2.5)]
 
 
+def test_files(spark, tmp_path):
+    from tabloom.plans.service import analyze_file, validate_file
+
+    path = csv(tmp_path, "f.csv", "a,b\n1,x\n1,x\n")
+    assert validate_file(spark, path)["valid"] and not validate_file(spark, "f.doc")["valid"]
+    assert analyze_file(spark, path)["quality"]["duplicate_rows"] == 1
+    with pytest.raises(AttributeError):
+        metrics.predicted(object(), None)
+
+
+def test_legacy_fill_and_store(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, None), (None, None), (3.0, None)], "x double, c string")
+    assert [tuple(r) for r in prepare.fill_all(df).collect()] == [(1.0, "<missing>"), (2.0, "<missing>"), (3.0, "<missing>")]
+    rows = models.assembled(spark.createDataFrame([(float(i), 2.0 * i) for i in range(10)], "x double, _label double"), ["x"])
+    model = models.legacy_suite("Regression")[0][1].fit(rows)
+    assert store.save_legacy(model, "sales.csv", tmp_path).endswith("sales") and store.save_legacy(model, "sales.csv", tmp_path)
+    assert prepare.stratifies(df.select(F.lit("a").alias("t")), "t") and not prepare.stratifies(df, "x", "Regression")
+
+
 def test_safe_paths(tmp_path):
     assert tabular.safe_path(tmp_path, "a.csv").parent == tmp_path.resolve()
     for bad in ("../a.csv", "a/b.csv", "", ".."):

@@ -52,16 +52,15 @@ def test_iso_and_bad_dates(spark):
 
 def test_t11_first_value_sets_the_order(spark):
     a = dates.convert_dates(spark.createDataFrame([("11/8/2016",), ("13/8/2016",)], "d string").coalesce(1))
-    assert [x["d"] for x in a[0].collect()] != [T(2016, 8, 11), T(2016, 8, 13)] or a[1]["status"] == "Completed"
+    assert [x["d"] for x in a[0].collect()] == [T(2016, 11, 8), None] and a[1]["details"]["date_columns_nat_count"] == 1
     b = dates.convert_dates(spark.createDataFrame([("13/8/2016",), ("11/8/2016",)], "d string").coalesce(1))[0]
     assert [x["d"] for x in b.collect()] == [T(2016, 8, 13), T(2016, 8, 11)]
 
 
 def test_negatives_are_no_dates(spark):
-    for v in ("10", "1001", "A1", "May", "Sat", "CA-2016-152156"):
+    for v in ("10", "10015", "12:30", "A1", "May", "Sat", "CA-2016-152156"):
         df = spark.createDataFrame([(v,)], "d string")
-        if v != "1001":
-            assert dates.date_columns(df) == [], v
+        assert dates.date_columns(df) == [], v
     assert dates.date_columns(spark.createDataFrame([("2016",)], "d string")) == ["d"]
 
 
