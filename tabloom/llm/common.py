@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.session import ship
+
 #: Unicode White_Space, as a character class body for `re` (Python's own \s also has \x1c-\x1f).
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -62,10 +64,11 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[
 
 
 def as_schema(ddl: str) -> pa.Schema:
-    """Arrow's schema for a DDL string, as mapInArrow wants its batches."""
+    """Arrow's schema for a DDL string, as mapInArrow wants its batches; the executors get the code that makes them."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    ship(SparkSession.active())
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
