@@ -43,7 +43,7 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 #: Elements that CLOSES does not reach out of.
 HOLDS = frozenset("ul ol dl table select article section div main body".split())
 #: Words in a class or id, and roles, that say a subtree is no content.
-WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice newsletter subscribe subscription signup popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget related recommended recommendations share sharing social comment comments disqus reply replies respond pagination pager login toolbar banner footer masthead skip".split())
+WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice newsletter subscribe subscription signup popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget related recommended recommendations share sharing social comment comments disqus reply replies respond pagination pager login toolbar banner footer masthead skip notices banners sidebars menus widgets footers commentlist adbox adslot adsbygoogle cookiebar cookiebanner sidenav topnav subnav sharebar relatedposts alert alerts disclaimer".split())
 HEADERS = frozenset("header site-header page-header top-header main-header global-header topbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
 
