@@ -125,7 +125,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that are kept, their texts without the lines that failed; all columns stay, n_chars (if there is one) follows the text."""
-    kept = judged(docs, text_col).where("_q.kept").withColumn(text_col, F.col("_q.clean_text")).drop("_q")
+    # exploding a list that is empty for rejected rows: a filter would work the rules out a second time
+    one = judged(docs, text_col).withColumn("_q", F.explode(F.filter(F.array("_q"), lambda q: q["kept"])))
+    kept = one.withColumn(text_col, F.col("_q.clean_text")).drop("_q")
     return kept.withColumn("n_chars", F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
