@@ -185,17 +185,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # about `labelled` rows at most
     tagged = docs.select(F.col(f"`{id_col}`").alias("_id"), *_inputs(docs, text_col)).join(F.broadcast(sample), "_id", "left")
     drawn = tagged.where(F.col("_y").isNotNull() | (draw("_id", 2) < int(million * min(1.0, pool / max(1, rows)))))
-    ddl = "h bigint, y double, content array<float>, metadata array<float>"
+    ddl = "h bigint, y double, content binary, metadata binary"  # features as bytes of 32-bit floats
     schema = as_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             a, b = _views(batch, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([*a.astype(np.float32)], schema.types[2]), pa.array([*b.astype(np.float32)], schema.types[3])], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([row.tobytes() for row in x.astype("<f4")], pa.binary()) for x in (a, b))], schema=schema)
 
     found = drawn.select(F.xxhash64("_id").alias("h"), "_y", "text", "source", "lang").mapInArrow(run, ddl).collect()
-    found.sort(key=lambda r: (r["h"], r["y"] is None, r["y"] or 0.0, r["content"], r["metadata"]))
-    a, b = (np.array([r[k] for r in found], np.float64).reshape(len(found), len(found[0][k]) if found else 0) for k in ("content", "metadata"))
+    found.sort(key=lambda r: (r["h"], r["y"] is None, r["y"] or 0.0, bytes(r["content"]), bytes(r["metadata"])))
+    a, b = (np.frombuffer(b"".join(bytes(r[k]) for r in found), "<f4").reshape(len(found), len(found[0][k]) // 4 if found else 0).astype(np.float64) for k in ("content", "metadata"))
     y = np.array([np.nan if r["y"] is None else r["y"] for r in found])
     own = ~np.isnan(y)
     return CoTrained(a[own], b[own], (y[own] > 0.5).astype(float), a[~own], b[~own], rounds)
