@@ -10,6 +10,7 @@ depend on it.
 from __future__ import annotations
 
 import functools
+import gc
 import re
 from collections.abc import Iterator
 
@@ -152,8 +153,14 @@ class PieceEncoder:
         return " ".join(part) if self.drops_white else "".join([lead + x for x in part]) if lead else "\n".join(part)
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        cut = [[*self.lines(x)] for x in texts]
-        return self._joined(cut, *self._learn(cut))
+        collects = gc.isenabled()
+        gc.disable()  # a slice makes many lists and no cycles
+        try:
+            cut = [[*self.lines(x)] for x in texts]
+            return self._joined(cut, *self._learn(cut))
+        finally:
+            if collects:
+                gc.enable()
 
     def _joined(self, cut: list[list[list[str]]], bare: dict[str, bytes], behind: dict[str, bytes]) -> list[bytes]:
         if self.drops_white:
