@@ -8,7 +8,7 @@ order, with others between them or not; a notice or tag by itself. Sentences are
 as licence texts are wrapped, in the text with single line ends taken as spaces.
 
 Defined results: a null, empty or unlicensed text has no licence ('' and 0); equal rows get equal results;
-a text without any of the words that every known sentence has one of is passed over at once; licences come in the
+a text without any of the words that every known sentence and every notice has one of (`WORDS`) is passed over at once; licences come in the
 alphabetical order of their identifiers; an empty table gives an empty table; other columns are not read.
 """
 
@@ -71,10 +71,14 @@ RULES = [
     ("Unlicense", ["unlicense-grant"]),
     ("MPL-2.0", ["mpl-notice"]),
 ]
-#: Every sentence above has one of these words.
+#: Every sentence above has one of these words, and so has all that BEFORE matches: single words, as white space between two may be any.
+WORDS = r"licen[cs]e|under|software|warranty"
+#: The words that the SQL looks for, which are fewer: it passes over notices like "distributed under CC BY 4.0" without another of them.
 ANY = r"licen[cs]e|released under|spdx|permission|the software|free software|public domain|warranty|provided by the copyright"
 #: What stands around a licence's name in a notice or tag (normalised sentence).
 BEFORE = r"^(?:spdx license identifier|license|licence|(?:(?:this|the) (?:work|software|project|program|file|document|package|library|code|dataset|material|text|content|page|site)(?: is)? )?(?:also |dual )?(?:licensed|licenced|released|distributed|published|available|made available|provided|shared) under(?: the terms of)?(?: the| a| an)?|under(?: the terms of)? the|license is the|for license see the) "
+#: The same with the longer form first, which "license" alone would hide.
+NOTICE = BEFORE.replace("^(?:", "^(?:license is the|", 1)
 AFTER = r"(?: license| licence)?(?: or later| or any later version| only| international| unported)?$"
 
 
@@ -96,10 +100,10 @@ def identifier(sentence: Column) -> Column:
     """Identifier of a normalised sentence: that of the table, or notice:LICENCE; null if unknown."""
     known = F.create_map(*(F.lit(y) for name, text in SENTENCES.items() for y in (text, name)))
     names = F.create_map(*(F.lit(y) for item in _names().items() for y in item))
-    own = F.regexp_replace(F.regexp_replace(sentence, BEFORE, ""), AFTER, "")
+    own = F.regexp_replace(F.regexp_replace(sentence, NOTICE, ""), AFTER, "")
     # the name with and without the word that AFTER may have taken
-    named = F.coalesce(F.try_element_at(names, F.regexp_replace(sentence, BEFORE, "")), F.try_element_at(names, own))
-    return F.coalesce(F.try_element_at(known, sentence), F.when(sentence.rlike(BEFORE), F.concat(F.lit("notice:"), named)))
+    named = F.coalesce(F.try_element_at(names, F.regexp_replace(sentence, NOTICE, "")), F.try_element_at(names, own))
+    return F.coalesce(F.try_element_at(known, sentence), F.when(sentence.rlike(NOTICE), F.concat(F.lit("notice:"), named)))
 
 
 def _unwrapped(text: Column) -> Column:
@@ -131,7 +135,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.greatest(F.size(lines), F.size(joined)).cast("bigint").alias("n_sentences"),
         ))
 
-    scanned = F.when(F.lower(text).rlike(ANY), let(_sequence(_sentences(text)), found)).otherwise(none)
+    scanned = F.when(F.lower(text).rlike(WORDS), let(_sequence(_sentences(text)), found)).otherwise(none)
     return docs.select(F.col(f"`{id_col}`"), scanned.alias("_s")).select(f"`{id_col}`", "_s.licences", "_s.n_sentences", (F.col("_s.licences") != "").alias("has_licence"))
 
 

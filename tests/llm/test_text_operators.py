@@ -179,6 +179,23 @@ def test_licences(spark, docs, none):
     assert licences.licence_scan(docs).count() == len(TEXTS) + 1 and licences.licence_scan(none).count() == 0
 
 
+def test_licence_notices_of_every_form(spark):
+    verbs = ["licensed", "licenced", "released", "distributed", "published", "available", "made available", "provided", "shared"]
+    things = ["work", "software", "project", "program", "file", "document", "package", "library", "code", "dataset", "material", "text", "content", "page", "site"]
+    texts = [f"{lead}{verb} under{terms}{article} CC BY 4.0." for verb in verbs for terms in ("", " the terms of") for article in ("", " the", " a", " an") for lead in ("", "Also ", "This work is ", "The dataset ")]
+    texts += [f"{which} {thing} is {verb} under CC BY 4.0." for which in ("This", "The") for thing in things for verb in ("published", "distributed")]
+    texts += ["SPDX-License-Identifier: CC-BY-4.0", "License: CC BY 4.0", "Licence: CC BY 4.0", "Under the CC BY 4.0", "Under the terms of the CC BY 4.0", "License is the CC BY 4.0", "For license see the CC BY 4.0"]
+    texts += ["released\nunder CC BY 4.0", "Shared\r\nunder the\tterms of\nCC BY 4.0."]
+    rows = licences.licence_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [texts[r["doc_id"]] for r in rows if r["licences"] != "CC-BY-4.0"] == []
+    texts = ["This code is made available under the GPL v2.", "This package is distributed under the terms of the GNU GPL v3.", "This dataset is published under CC BY-SA 4.0."]
+    rows = licences.licence_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licences"] for r in rows} == {0: "GPL-2.0", 1: "GPL-3.0", 2: "CC-BY-SA-4.0"}
+    import re
+
+    assert all(re.search(licences.WORDS, x) for x in licences.SENTENCES.values())
+
+
 def test_shingle_hash_is_spark_s(spark):
     from pyspark.sql import functions as F
 
