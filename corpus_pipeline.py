@@ -4,7 +4,8 @@ Stages, in order; each works on all rows that the stage before it kept:
 
 1. quality_classifier  documents whose co-trained quality score is below the threshold go
 2. quality_rules       lines that fail the line rules go, and documents that the rules reject
-3. near_dedup          one document of each SimHash component stays, that of the smallest id
+3. near_dedup          one document of each component of near copies (SimHash at most 4 bits apart, or Jaccard of
+                       five-word shingles 0.8 or more) stays, that of the smallest id
 4. source_mixing       documents are put in the order of the Pfair mix of their sources
 5. packing             a row for each piece of a document in the packed sequences
 

@@ -123,12 +123,17 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def grouped(prints: DataFrame, radius: int = 4, segments: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """prints (id, fp) with component_id. `prints` is read several times: pass a written table."""
+def rooted(prints: DataFrame, radius: int = 4, segments: int = 3, id_col: str = "doc_id") -> DataFrame:
+    """fp, the least id of its rows, and root: one fingerprint that stands for the whole component."""
     fps = written(prints.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least")), "fps")
     roots = components(near_links(fps.select("fp"), radius, segments))
     # a root is a node of its component but not of `roots`
-    own = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def grouped(prints: DataFrame, radius: int = 4, segments: int = 3, id_col: str = "doc_id") -> DataFrame:
+    """prints (id, fp) with component_id. `prints` is read several times: pass a written table."""
+    own = rooted(prints, radius, segments, id_col)
     named = own.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = own.join(named, "root").select("fp", "component_id")
     return prints.join(by_fp, "fp")
@@ -140,10 +145,115 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: i
     return grouped(prints, radius, segments, id_col).select(f"`{id_col}`", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Words of a shingle for similarity, and the MinHash bands and values of a band: a pair of similarity 0.8 has none in common with probability (1 - 0.8 ** 4) ** 20 = 3e-5.
+WORDS, BANDS, IN_BAND = 5, 20, 4
+_MULT, _ADD = (np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * IN_BAND, 1), np.uint64) | np.array([1, 0], np.uint64)[:, None, None])
+
+
+def shingles(text: str) -> np.ndarray:
+    """Sorted distinct XXH64 of the shingles of WORDS words; a shorter text is one shingle, a wordless one has none."""
+    words = text.encode("utf-8").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - WORDS + 1)
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + WORDS])) for i in range(n)), np.uint64, n))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each MinHash band of a set of shingles that is not empty."""
+    least = np.full(BANDS * IN_BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 4096):
+        least = np.minimum(least, (_MULT * found[None, at : at + 4096] + _ADD).min(1))
+    return [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, IN_BAND))]
+
+
+def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' id and key (a hash of the whole row), fp, and of its shingles: node (a hash of them and fp), their number n, and bands; narrow."""
+    ddl = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, key bigint, fp bigint, node bigint, n int, bands array<bigint>"
+    schema = as_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            fps, nodes, sizes, keys = [], [], [], []
+            for x in batch.column(2).to_pylist():
+                fp, own = fingerprint(x), shingles(x)
+                fps.append(fp)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), fp) - (1 << 63))
+                sizes.append(len(own))
+                keys.append(bands(own) if len(own) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, schema.field(5).type)], schema=schema)
+
+    return docs.select(F.col(f"`{id_col}`"), row_key(docs).alias("key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).mapInArrow(run, ddl)
+
+
+def row_key(docs: DataFrame):
+    """A hash of all columns of a row, with which of them are null."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*own, *(c.isNull() for c in own))
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """node and its shingles, from rows (node, text)."""
+    ddl = "node bigint, shingles array<bigint>"
+    schema = as_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x).view(np.int64) for x in batch.column(1).to_pylist()], schema.field(1).type)], schema=schema)
+
+    return texts.mapInArrow(run, ddl)
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) between roots of which two texts have an exact Jaccard similarity of 0.8 or more, enough to connect all that have (and share a band).
+
+    Copies share a node. As in near_links, a bucket links its members to its smallest one first; what is linked to it, or
+    in its component before, needs no link to others of the kind.
+    """
+    nodes = prints.where("n > 0").groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands"))
+    keys = written(nodes.join(roots.select("fp", "root"), "fp").select("node", "n", "root", F.explode("bands").alias("v")), "bands")
+    stars = keys.groupBy("v").agg(F.min(F.struct("node", "root", "n")).alias("s"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    keys = written(keys.join(stars.select("v", "s"), "v"), "band-members")  # of buckets with several roots
+
+    wanted = keys.select("node").distinct()
+    one = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col(f"`{id_col}`").alias("id"), "key")).alias("x")).select("node", "x.id", "x.key")
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), row_key(docs).alias("_key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(one, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")))
+    sets = written(shingle_sets(found.select("node", "text")).dropDuplicates(["node"]), "shingles")
+
+    def alike(x: str, y: str):
+        return (5 * F.col(x) >= 4 * F.col(y)) & (5 * F.col(y) >= 4 * F.col(x))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        return written(both.where(9 * F.col("common") >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b", "ra", "rb"), name)
+
+    first = keys.where((F.col("root") != F.col("s.root")) & alike("n", "s.n")).select(F.col("s.node").alias("a"), F.col("node").alias("b"), F.col("s.root").alias("ra"), F.col("root").alias("rb")).distinct()
+    first = verified(first, "similar-to-first")
+    known = keys.join(first.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("s.node") == F.col("_a")) & (F.col("node") == F.col("_b")), "left")
+    known = known.select("v", "node", "n", "root", (F.col("s.node") == F.col("node")).alias("first"), (F.col("_a").isNotNull() | (F.col("root") == F.col("s.root"))).alias("linked"))
+    known = written(known, "band-links")
+    x = known.where("not linked").select("v", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "root")))
+    y = known.where("not first").select("v", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "root", "linked")))
+    rest = x.join(y, "v").where((F.col("x_root") != F.col("y_root")) & alike("x_n", "y_n") & (F.col("y_linked") | (F.col("x_node") < F.col("y_node"))))
+    rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.when(F.col("x_node") < F.col("y_node"), F.col("x_root")).otherwise(F.col("y_root")).alias("ra"), F.when(F.col("x_node") < F.col("y_node"), F.col("y_root")).otherwise(F.col("x_root")).alias("rb")).distinct()
+    return first.unionByName(verified(rest, "similar")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+
 def without_copies(docs: DataFrame, radius: int = 4, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of docs: that of its smallest id. All columns stay."""
-    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    kept = grouped(prints, radius, segments, id_col).where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_col}`").alias("_kept")).distinct()
-    out = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = prints.groupBy(f"`{id_col}`").count().where("count > 1").limit(1).count()
+    """One row of each component of docs: that of its smallest id. All columns stay.
+
+    Texts are linked if their fingerprints are at most `radius` bits apart, or if the Jaccard similarity of their
+    shingles of five words is 0.8 or more.
+    """
+    prints = written(prepared(docs, id_col, text_col), "fingerprints")
+    roots = written(rooted(prints, radius, segments, id_col).select("fp", "root"), "roots")
+    above = components(similar_links(docs, prints, roots, id_col, text_col)).withColumnRenamed("root", "top")
+    tops = roots.join(above, roots.root == above.node, "left").select("fp", F.coalesce("top", "root").alias("root"))
+    own = F.col(f"`{id_col}`")
+    best = prints.join(tops, "fp").groupBy("root").agg(F.min(own).alias("_kept")).select("_kept").distinct()
+    out = docs.join(best, own.eqNullSafe(F.col("_kept")), "left_semi")
+    repeated = prints.groupBy(own).count().where("count > 1").limit(1).count()
     return out.dropDuplicates([id_col]) if repeated else out

@@ -68,6 +68,28 @@ def test_fingerprint_edge_cases(spark):
     assert sorted(kept) == [3, 7, 9, 11]
 
 
+def similarity(a, b):
+    x, y = (set(simhash.shingles(t).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_stage_links_similarity_of_0_8(spark):
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(60):  # a text, and one of similarity 0.8 or a little more that SimHash puts over 4 bits away
+        words = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+        other = list(words)
+        for at in rnd.sample(range(0, 200, 10), 4):
+            other[at] = f"v{rnd.randrange(5000)}"
+        texts += [" ".join(words), " ".join(other)]
+    texts += [" ".join(f"u{i}" for i in range(k, k + 100)) for k in (0, 8, 16, 24, 50)]  # a chain of 0.85 each, and one alone
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if similarity(texts[i], texts[j]) >= 0.8]
+    assert len(pairs) >= 63 and sum((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 4 for i, j in pairs) > 30
+    above = {j for _, j in pairs}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.without_copies(df).collect()) == [i for i in range(len(texts)) if i not in above]
+
+
 def brute_period(p, slots):
     done, out = [0] * len(p), []
     for t in range(slots):
