@@ -243,17 +243,18 @@ def similar_links(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col:
 
 
 def without_copies(docs: DataFrame, radius: int = 4, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of docs: that of its smallest id. All columns stay.
+    """One row of each component of docs: that of its smallest id, null last. All columns stay.
 
     Texts are linked if their fingerprints are at most `radius` bits apart, or if the Jaccard similarity of their
-    shingles of five words is 0.8 or more.
+    shingles of five words is 0.8 or more. Rows of equal or null ids are told apart by a hash of the whole row.
     """
     prints = written(prepared(docs, id_col, text_col), "fingerprints")
     roots = written(rooted(prints, radius, segments, id_col).select("fp", "root"), "roots")
     above = components(similar_links(docs, prints, roots, id_col, text_col)).withColumnRenamed("root", "top")
     tops = roots.join(above, roots.root == above.node, "left").select("fp", F.coalesce("top", "root").alias("root"))
     own = F.col(f"`{id_col}`")
-    best = prints.join(tops, "fp").groupBy("root").agg(F.min(own).alias("_kept")).select("_kept").distinct()
-    out = docs.join(best, own.eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = prints.groupBy(own).count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([id_col]) if repeated else out
+    best = prints.join(tops, "fp").groupBy("root").agg(F.min(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("key"))).alias("x"))
+    kept = written(best.select(F.col("x.id").alias("_id"), F.col("x.key").alias("_key")), "kept")
+    out = docs.withColumn("_own", row_key(docs)).join(kept, own.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_semi")
+    repeated = prints.groupBy(own, "key").count().where("count > 1").limit(1).count()
+    return (out.dropDuplicates([id_col, "_own"]) if repeated else out).drop("_own")

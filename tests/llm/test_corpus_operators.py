@@ -90,6 +90,16 @@ def test_stage_links_similarity_of_0_8(spark):
     assert sorted(r["doc_id"] for r in simhash.without_copies(df).collect()) == [i for i in range(len(texts)) if i not in above]
 
 
+def test_stage_keeps_unrelated_rows_of_one_id(spark):
+    words = lambda seed: " ".join(f"w{random.Random(seed * 1000 + i).randrange(10**6)}" for i in range(60))
+    texts = [words(k) for k in range(8)]
+    rows = [(None, texts[k], "s") for k in range(4)] + [(7, texts[4], "s"), (7, texts[5], "s"), (7, texts[5], "s"), (8, texts[6], "s"), (None, texts[6], "s"), (9, texts[7], "s"), (9, texts[7], "t"), (3, texts[0], "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r["doc_id"], r["text"]) for r in simhash.without_copies(df).collect()]
+    assert sorted(got, key=str) == sorted([(3, texts[0]), *((None, texts[k]) for k in (1, 2, 3)), (7, texts[4]), (7, texts[5]), (8, texts[6]), (9, texts[7])], key=str)
+    assert simhash.without_copies(df.limit(0)).count() == 0
+
+
 def brute_period(p, slots):
     done, out = [0] * len(p), []
     for t in range(slots):
