@@ -7,7 +7,8 @@ Stages, in order; each works on all rows that the stage before it kept:
 3. near_dedup          one document of each component of near copies (SimHash at most 4 bits apart, or Jaccard of
                        five-word shingles 0.8 or more) stays, that of the smallest id
 4. source_mixing       documents are put in the order of the Pfair mix of their sources
-5. packing             a row for each piece of a document in the packed sequences
+5. packing             a row for each piece of a document in the packed sequences, which are numbered in the order
+                       of the mix (its positions are worked out again, as documents have no column for them)
 
 All but the last return the columns of documents.
 """
@@ -38,7 +39,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_two_fit(docs, tokenizer("byte_bpe_50k.json"), end_id=0, size=2048)
+    return packing.best_two_fit(docs, tokenizer("byte_bpe_50k.json"), end_id=0, size=2048, positions=written(mixing.schedule(docs).select("doc_id", "position"), "positions"))
 
 
 STAGES = [

@@ -8,6 +8,10 @@ smallest piece is replaced with two unpacked pieces that fit the gap more tightl
 such. The same sequence is repeated while the counts last. The pieces then get exact ranks within
 their length (salted, so that a frequent length is spread over many tasks) and ranks map to places.
 
+With positions of the documents (those of a mix), pieces are ranked within their length by position instead, in
+ranges of positions, and the sequences are numbered by the position of their first piece, which is their longest:
+read by number, they follow the mix. The plan, and so the number of sequences, is the same.
+
 Defined results: a null text is empty, and a document without tokens is its end id alone; equal
 rows are packed as pieces of their own; an empty table gives an empty table; ties go by id, then piece.
 """
@@ -28,6 +32,8 @@ from tabloom.llm.encoding import encoder
 
 #: Rows of one length that are ranked together.
 RANKED = 1000
+#: Positions whose pieces, or sequences, are ranked together.
+RANGE = 8000
 
 
 def crc_of(ids: bytes, dtype: np.dtype) -> int:
@@ -144,23 +150,34 @@ def _places(made: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, np
 
 
 def ranked(pieces: DataFrame, counts: dict[int, int], id_col: str) -> DataFrame:
-    """pieces with `rank`: 0, 1, ... within each length, without a gap; the rows of a length are spread over many tasks."""
+    """pieces with `rank`: 0, 1, ... within each length, without a gap; the rows of a length are spread over many tasks.
+
+    If pieces have a column position, ranks go by it.
+    """
     spark = pieces.sparkSession
     many = spark.createDataFrame([(x, -(-n // RANKED)) for x, n in counts.items()] or [(0, 1)], "length bigint, buckets bigint")
     # `many` has a row for each length, 2048 at most
     dealt = pieces.join(F.broadcast(many), "length").withColumn("bucket", spread(F.struct(f"`{id_col}`", "piece"), F.col("buckets"))).drop("buckets")
+    order = [F.col(f"`{id_col}`"), "piece", "ids_crc32"]
+    if "position" in pieces.columns:
+        dealt, order = pieces.withColumn("bucket", F.floor(F.col("position") / RANGE)), ["position", *order]
     sums = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sums.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(F.col(f"`{id_col}`"), "piece", "ids_crc32"))
+    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order))
     return dealt.withColumn("inside", inside).join(before, ["length", "bucket"]).withColumn("rank", F.col("inside") - 1 + F.col("before")).drop("bucket", "inside", "before")
 
 
 def packed(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id") -> DataFrame:
-    """pieces with sequence_id and offset. `pieces` is read three times: pass a written table."""
+    """pieces with sequence_id and offset. `pieces` is read three times: pass a written table.
+
+    If pieces have a column position, ranks and sequence numbers go by it, and it is not returned.
+    """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row for each length
     place = _places(plan(counts, size))
     kind = pieces.schema[id_col].dataType.simpleString()
     ddl = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+    mixed = ["position"] if "position" in pieces.columns else []
+    ddl += ", position bigint" if mixed else ""
     schema = as_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +191,30 @@ def packed(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id") -> DataF
                 own = rank[at] - starts[k]
                 sequence[at] = firsts[k] + own // each[k]
                 offset[at] = [offsets[a][b] for a, b in zip(k, own % each[k], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset), *batch.columns[6:]], schema=schema)
+
+    out = ranked(pieces, counts, id_col).select(f"`{id_col}`", "piece", "start", "length", "ids_crc32", F.col("rank").cast("bigint"), *mixed).mapInArrow(run, ddl)
+    return _renumbered(written(out, "packed")) if mixed else out
+
+
+def _renumbered(out: DataFrame) -> DataFrame:
+    """Sequences numbered by the position of their piece at offset 0: sums over ranges of positions, then inside a range."""
+    first = out.where("offset = 0").select("sequence_id", "position", F.floor(F.col("position") / RANGE).alias("range"))
+    sums = first.groupBy("range").agg(F.count("*").alias("n"))
+    before = sums.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("position", "sequence_id"))
+    numbers = first.withColumn("inside", inside).join(before, "range").select("sequence_id", (F.col("before") + F.col("inside") - 1).alias("number"))
+    columns = [F.col("number").alias(c) if c == "sequence_id" else F.col(f"`{c}`") for c in out.columns if c != "position"]
+    return out.join(numbers, "sequence_id").select(*columns)
 
-    return ranked(pieces, counts, id_col).select(f"`{id_col}`", "piece", "start", "length", "ids_crc32", F.col("rank").cast("bigint")).mapInArrow(run, ddl)
 
+def best_two_fit(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", positions: DataFrame | None = None) -> DataFrame:
+    """Tokenises once (the pieces, without ids, are written to the shared folder), plans and places.
 
-def best_two_fit(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenises once (the pieces, without ids, are written to the shared folder), plans and places."""
-    return packed(written(token_pieces(docs, tokenizer, end_id, size, id_col, text_col), "pieces"), size, id_col)
+    positions: rows (id, position) of all ids, for sequences in their order; of several rows of an id, the first counts.
+    """
+    pieces = written(token_pieces(docs, tokenizer, end_id, size, id_col, text_col), "pieces")
+    if positions is not None:
+        own = positions.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min("position").alias("position"))
+        pieces = written(pieces.join(own, F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))).drop("_id"), "placed-pieces")
+    return packed(pieces, size, id_col)

@@ -100,6 +100,16 @@ def test_stage_keeps_unrelated_rows_of_one_id(spark):
     assert simhash.without_copies(df.limit(0)).count() == 0
 
 
+def test_last_stage_follows_the_mix(spark):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    at = {r["doc_id"]: r["position"] for r in mixing.schedule(docs).collect()}
+    rows = sorted(c.best_fit_packing(spark, c.source_mixing(spark, docs, SF), SF).collect(), key=lambda r: r["sequence_id"])
+    firsts = [at[r["doc_id"]] for r in rows if r["offset"] == 0]
+    assert firsts == sorted(firsts)
+
+
 def brute_period(p, slots):
     done, out = [0] * len(p), []
     for t in range(slots):

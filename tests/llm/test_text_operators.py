@@ -101,6 +101,24 @@ def test_packed_documents(docs, none):
     assert packing.best_two_fit(none, path, 0, 256).count() == 0
 
 
+def test_packing_follows_positions(spark):
+    rnd = random.Random(9)
+    path, n = tokenizer("byte_bpe_50k.json"), 300
+    df = spark.createDataFrame([(i, " ".join(rnd.choice(["one", "two", "three"]) for _ in range(rnd.randint(1, 400)))) for i in range(n)] + [(None, "x y")], "doc_id long, text string")
+    plain = packing.best_two_fit(df, path, 0, 256).collect()
+    old, packing.RANGE = packing.RANGE, 64
+    try:
+        for sign in (1, -1):
+            places = {i: (i * sign) % (n + 1) for i in [*range(n)]} | {None: n if sign == 1 else 0}
+            at = spark.createDataFrame([*places.items()], "doc_id long, position long")
+            rows = packing.best_two_fit(df, path, 0, 256, positions=at).collect()
+            assert sorted(map(str, ((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows))) == sorted(map(str, ((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in plain)))
+            firsts = [places[r["doc_id"]] for r in sorted(rows, key=lambda r: r["sequence_id"]) if r["offset"] == 0]
+            assert firsts == sorted(firsts) and {r["sequence_id"] for r in rows} == set(range(len(firsts)))
+    finally:
+        packing.RANGE = old
+
+
 def test_token_files_round_trip(spark, docs, none, tmp_path):
     path = tokenizer("word_bpe_49k.json")
     unique = docs.dropDuplicates(["doc_id"])
