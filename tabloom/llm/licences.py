@@ -71,8 +71,37 @@ RULES = [
     ("Unlicense", ["unlicense-grant"]),
     ("MPL-2.0", ["mpl-notice"]),
 ]
+_GRANT = "you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation {version}"
+_CONDITIONS = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_HOLDER = "neither the name of the copyright {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+#: Further sentences that only the code knows, not the SQL: normalised, with their identifiers.
+MORE = {
+    _CONDITIONS: "bsd-grant",
+    f"{_CONDITIONS} 1": "bsd-grant",  # as unwrapped, with the number of the first condition
+    f"{_CONDITIONS} {_SOURCE}": "bsd-grant bsd-source",  # and with a bullet
+    _SOURCE: "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    **{_HOLDER.format(holder=x): "bsd-endorse" for x in ("holder", "holders", "owner")},
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advert",
+    **{
+        f"this {thing} is free software {_GRANT.format(name=name, version=version)}": f"grant:{licence}"
+        for name, licence, number in (("general public license", "GPL-2.0", "2"), ("general public license", "GPL-3.0", "3"), ("lesser general public license", "LGPL-2.1", "2 1"), ("lesser general public license", "LGPL-3.0", "3"), ("affero general public license", "AGPL-3.0", "3"))
+        for thing in ("program", "library", "software", "file")
+        for version in (f"either version {number} of the license or at your option any later version", f"version {number} of the license", f"version {number}", f"version {number} only")
+        if f"this {thing} is free software {_GRANT.format(name=name, version=version)}" not in SENTENCES.values()
+    },
+}
+#: Between two sentences of a BSD licence, no other clause and no second licence.
+_GAP = r" (?:(?!bsd-grant |bsd-endorse |bsd-advert )\S+ )*"
+#: Further rules, as patterns over the identifiers.
+MORE_RULES = [
+    ("BSD-2-Clause", _GAP.join(["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"])),
+    ("BSD-3-Clause", _GAP.join(["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty"])),
+    *((licence, f"grant:{licence}") for licence in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")),
+]
 #: Every sentence above has one of these words, and so has all that BEFORE matches: single words, as white space between two may be any.
-WORDS = r"licen[cs]e|under|software|warranty"
+WORDS = r"licen[cs]e|under|software|warranty|redistribution"
 #: The words that the SQL looks for, which are fewer: it passes over notices like "distributed under CC BY 4.0" without another of them.
 ANY = r"licen[cs]e|released under|spdx|permission|the software|free software|public domain|warranty|provided by the copyright"
 #: What stands around a licence's name in a notice or tag (normalised sentence).
@@ -98,7 +127,7 @@ def _sentences(text: Column) -> Column:
 
 def identifier(sentence: Column) -> Column:
     """Identifier of a normalised sentence: that of the table, or notice:LICENCE; null if unknown."""
-    known = F.create_map(*(F.lit(y) for name, text in SENTENCES.items() for y in (text, name)))
+    known = F.create_map(*(F.lit(y) for text, name in [*((t, n) for n, t in SENTENCES.items()), *MORE.items()] for y in (text, name)))
     names = F.create_map(*(F.lit(y) for item in _names().items() for y in item))
     own = F.regexp_replace(F.regexp_replace(sentence, NOTICE, ""), AFTER, "")
     # the name with and without the word that AFTER may have taken
@@ -119,7 +148,7 @@ def _sequence(sentences: Column) -> Column:
 def _licences(ids: Column) -> Column:
     """Licences whose rule the sequence of identifiers meets."""
     joined = F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
-    by_rule = F.array_compact(F.array(*(F.when(joined.rlike(" " + r" (?:\S+ )*".join(rule) + " "), F.lit(licence)) for licence, rule in RULES)))
+    by_rule = F.array_compact(F.array(*(F.when(joined.rlike(" " + rule + " "), F.lit(licence)) for licence, rule in [*((x, r" (?:\S+ )*".join(y)) for x, y in RULES), *MORE_RULES])))
     notices = F.transform(F.filter(ids, lambda x: x.startswith("notice:")), lambda x: F.substring(x, len("notice:") + 1, 100))
     return F.concat(by_rule, notices)
 

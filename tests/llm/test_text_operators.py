@@ -214,6 +214,28 @@ def test_licence_notices_of_every_form(spark):
     assert all(re.search(licences.WORDS, x) for x in licences.SENTENCES.values())
 
 
+def test_whole_bsd_and_gnu_texts(spark):
+    head = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+    clauses = ["Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."]
+    end = '\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.\n'
+    texts, want = [], []
+    for n, name in ((2, "BSD-2-Clause"), (3, "BSD-3-Clause")):
+        for gap in ("", "\n"):
+            for mark in ("{}. ", "* "):
+                texts.append(head + gap + "".join(f"{mark.format(i + 1)}{c}\n{gap}" for i, c in enumerate(clauses[:n])) + end)
+                want.append(name)
+    grant = "This {} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {} as published by the Free Software Foundation; {}\n"
+    later = "either\nversion {} of the License, or (at your option) any later version."
+    for thing, name, version, licence in (("library", "Lesser General Public License", later.format("2.1"), "LGPL-2.1"), ("library", "Lesser General Public License", later.format(3), "LGPL-3.0"), ("program", "Affero General Public License", later.format(3), "AGPL-3.0"), ("program", "General Public License", "version 2 of the License.", "GPL-2.0"), ("program", "General Public License", "version 3.", "GPL-3.0"), ("program", "General Public License", later.format(2), "GPL-2.0")):
+        texts.append(grant.format(thing, name, version))
+        want.append(licence)
+    rows = licences.licence_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["licences"] for r in sorted(rows)] == want
+    import re
+
+    assert all(re.search(licences.WORDS, x) for x in licences.MORE)
+
+
 def test_shingle_hash_is_spark_s(spark):
     from pyspark.sql import functions as F
 
