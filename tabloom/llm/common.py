@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.session import ship
@@ -77,4 +77,18 @@ def spread(key: Column, buckets: Column | int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets).cast("bigint") if isinstance(buckets, int) else buckets.cast("bigint"))
 
 
+def with_before(sums: DataFrame, by: list[str], bucket: str, sizes: dict[str, str], wide: int = 1000) -> DataFrame:
+    """sums (one row for each `by` and number `bucket`) with, for each size and name in `sizes`, the sum of the size over all lower buckets.
+
+    `wide` buckets are summed together first, so that one task's rows are a thousandth of the buckets.
+    """
+    rows = sums.withColumn("_wide", F.floor(F.col(bucket) / wide))
+    own = Window.partitionBy(*by, "_wide").orderBy(bucket)
+    rows = rows.select("*", *((F.sum(c).over(own) - F.col(c)).alias(f"_in_{name}") for c, name in sizes.items()))
+    up = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_wide")
+    tops = sums.groupBy(*by, F.floor(F.col(bucket) / wide).alias("_wide")).agg(*(F.sum(c).alias(f"_sum_{name}") for c, name in sizes.items()))
+    tops = tops.select(*by, "_wide", *((F.sum(f"_sum_{name}").over(up) - F.col(f"_sum_{name}")).alias(f"_top_{name}") for name in sizes.values()))
+    return rows.join(tops, [*by, "_wide"]).select(*sums.columns, *((F.col(f"_in_{name}") + F.col(f"_top_{name}")).alias(name) for name in sizes.values()))
+
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -1,39 +1,106 @@
 """Token ids of whole texts through the tokenizers library, with repeated words encoded once.
 
 Both vocabularies split a text into pre-tokens that never reach across white space, but for a
-single leading space. A text is therefore cut at single spaces and line ends, each piece goes
-through the library once, and its ids are kept for later rows: most running words are repeats.
-The kept pieces are bounded (`KEPT`); a full store is emptied and refilled, so results never
-depend on it.
+single leading space. A slice of texts is therefore cut at single spaces and line ends, as Arrow arrays; each
+distinct piece of the slice goes through the library once, and the ids are gathered by numpy. Words of
+letters alone are one pre-token each, so they go straight to the library's merges, and their ids are kept for
+later slices. The kept words are bounded (`KEPT`); a full store is emptied by halves, so results never depend on it.
+
+Texts whose cut is not certain (three white characters in a row, two at the end, special strings, the
+mark itself) go through the library whole.
+
+Defined results: ids_of gives one value for each text, equal to the library's encode of the whole text without
+added special tokens; an empty text has no ids; a text of any length is worked on whole.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
-import re
-from collections.abc import Iterator
+import unicodedata
+from array import array
+from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tabloom.llm.common import WHITE
 
-#: Most pieces that one Python worker keeps, and the longest piece (characters) worth keeping.
-KEPT, KEPT_LENGTH = 800_000, 64
+#: Most words that one Python worker keeps, and the longest piece (characters) worth keeping.
+KEPT, KEPT_LENGTH = 1_000_000, 64
 #: Punctuation that may stand behind a word; a run of it is a pre-token of its own.
 _BEHIND = ".,;:!?"
-_RUN = re.compile(f"([{WHITE}]{{2,}})")
+#: Bytes of text that are worked on at a time.
+SLICE = 16 << 20
+#: What pieces are cut at, once it stands before each space and around each line end.
+_MARK = "\x00"
+#: Letters below this code point are letters in every version of Unicode that a library may follow.
+_SETTLED = "԰"
+
+
+class Kept[V]:
+    """A bounded store by piece: two halves, the older of which goes when the younger is full."""
+
+    def __init__(self, most: int = KEPT):
+        self.most, self.young, self.old = max(1, most // 2), {}, {}
+
+    def all(self, pieces: list[str], learn: Callable[[list[str]], Iterable[V]]) -> list[V]:
+        """The values of all pieces (which are distinct); learn gives those of the ones that are not kept."""
+        young, old = self.young, self.old
+        out = [*map(young.get, pieces)]
+        missing = [n for n, v in enumerate(out) if v is None] if None in out else []
+        new = []
+        for n in missing:
+            if (v := old.get(pieces[n])) is None:
+                new.append(n)
+            else:
+                out[n] = young[pieces[n]] = v
+        for n, v in zip(new, learn([pieces[n] for n in new]), strict=True):
+            out[n] = v
+            if len(pieces[n]) <= KEPT_LENGTH:
+                young[pieces[n]] = v
+        if len(young) >= self.most:
+            self.young, self.old = {}, young
+        return out
+
+
+def strings(found: pa.Array) -> list[str]:
+    """The same as to_pylist, in a fraction of its time."""
+    return found.to_numpy(zero_copy_only=False).tolist()
 
 
-def _has_run(text: str) -> bool:
-    """Two white characters in a row are possible."""
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-        return True
-    return bool(_RUN.search(text)) if not text.isascii() or any(c in text for c in "\t\r\x0b\x0c") else False
+def is_word(text: str) -> bool:
+    """Letters alone, of scripts whose letters all versions of Unicode agree on."""
+    return text.isalpha() and (text.isascii() or max(text) < _SETTLED)
+
+
+class Cutter:
+    """Cuts texts into pieces that no pre-token crosses the ends of."""
+
+    def __init__(self, drops_white: bool, special: list[str]):
+        self.drops_white, self.special = drops_white, special
+        self.unsure = f"[{WHITE}]{{3}}|[{WHITE}]{{2}}\\z"
+
+    def cut(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+        """Pieces of all texts, the bounds of each text among them, and numbers of texts that are not cut (and have none)."""
+        odd = pc.match_substring(texts, _MARK)
+        if not self.drops_white:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.unsure))
+            for x in self.special:
+                odd = pc.or_(odd, pc.match_substring(texts, x))
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(whole):
+            texts = pc.if_else(odd, "", texts)
+        if self.drops_white:
+            parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        else:
+            parts = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", _MARK + " "), "\n", f"{_MARK}\n{_MARK}"), _MARK)
+        bounds = parts.offsets.to_numpy()
+        return parts.flatten().dictionary_encode(), bounds - bounds[0], whole
 
 
 class PieceEncoder:
-    """ids(text): the library's ids as little-endian bytes of `dtype`; equal to encode(text, add_special_tokens=False)."""
+    """ids_of(texts): the library's ids as little-endian bytes of `dtype`; equal to encode(text, add_special_tokens=False)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -41,141 +108,120 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.vocab_size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
         #: White space is dropped by this tokenizer if it has no id of its own.
         self.drops_white = not self.library.encode(" \n ", add_special_tokens=False).ids
         special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.names = special
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        names = [self.library.id_to_token(n) or "" for n in range(self.vocab_size)]
-        #: By id: the token ends a word (vocabularies with word ends), or begins with a space.
-        self.closes = np.array([x.endswith("</w>") for x in names])
-        self.opens = np.array([x.startswith("Ġ") for x in names])
-        self.line_end = self.library.token_to_id("Ċ")
-        #: Ids of pieces without and with a space before them, and of their words without punctuation.
-        self.kept: tuple[dict[str, bytes], dict[str, bytes]] = ({"": b""}, {})
-        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.marks: dict[str, bytes] = {"": b""}
-
-    def lines(self, text: str) -> Iterator[list[str]]:
-        """Lists of pieces whose ids, one after the other, are the ids of the text; all but the first of a list stand behind a space."""
-        if self.drops_white:
-            yield text.replace("\n", " ").split(" ")
-            return
-        if any(x in text for x in self.names):
-            for part in self.special.split(text):  # special strings come first, as ordinary white space rules end at them
-                yield from [[part]] if self.special.fullmatch(part) else self._plain(part)
-        else:
-            yield from self._plain(text)
-
-    def _plain(self, text: str) -> Iterator[list[str]]:
-        parts = _RUN.split(text) if _has_run(text) else [text]
-        lead = ""
-        for at, part in enumerate(parts):
-            if at % 2:  # a run of white space: its last character may belong to the next word
-                last = at == len(parts) - 2 and not parts[-1]
-                yield [part if last else part[:-1]]
-                lead = "" if last else part[-1]
-                continue
-            if lead and lead != " ":
-                yield [lead]
-                lead = ""
-            for n, line in enumerate((lead + part).split("\n")):
-                if n:
-                    yield ["\n"]
-                yield line.split(" ")
-            lead = ""
-
-    def _learn(self, texts: list[list[list[str]]]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Encodes what isn't kept yet, and returns the two stores that hold all pieces of the texts."""
-        first: set[str] = set()
-        later: set[str] = set()
-        for lines in texts:
-            for line in lines:
-                later.update(line)
-                first.add(line[0])
-        if self.drops_white:
-            first, later = later, set()
-        if sum(map(len, self.kept)) > KEPT:
-            for store in (*self.kept, *self.words):
-                store.clear()
-            self.kept[0][""] = b""
-        keep = self.kept
-        new = (first.difference(keep[0]), later.difference(keep[1]))
-        if any(len(x) > KEPT_LENGTH for x in (*new[0], *new[1])):
-            keep = (dict(keep[0]), dict(keep[1]))  # long pieces are not kept
-        for n, lead in enumerate(("", " ")):
-            for x, ids in self._encode([*new[n]], lead, self.words[n]):
-                keep[n][x] = ids
-                if keep[n] is not self.kept[n] and len(x) <= KEPT_LENGTH:
-                    self.kept[n][x] = ids
-        return keep
-
-    def _library(self, texts: list[str]) -> Iterator[bytes]:
-        return (np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False))
-
-    def _encode(self, found: list[str], lead: str, words: dict[str, bytes], size: int = 4000) -> Iterator[tuple[str, bytes]]:
-        """The ids of each piece behind its lead. Words that are new go through the library as one running text."""
-        plain, other = [], []
-        for x in found:
-            word = x.rstrip(_BEHIND)
-            if not word.isalpha() or len(x) > KEPT_LENGTH:
-                other.append(x)
-            elif word.isascii():
-                plain.append((x, word.lower() if self.drops_white else word, x[len(word) :]))
-            elif word.lower().isalpha():
-                plain.append((x, word, x[len(word) :]))
-            else:
-                other.append(x)
-        if marks := [*{m for _, _, m in plain}.difference(self.marks)]:
-            self.marks.update(zip(marks, self._library(marks), strict=True))
-        new = [*{w for _, w, _ in plain}.difference(words)]
-        for at in range(0, len(new), size):
-            part = new[at : at + size]
-            whole = np.array(self.library.encode_batch_fast([self._running(part, lead)], add_special_tokens=False)[0].ids, np.uint32)
-            if self.drops_white:  # each word is one pre-token, and its last token closes it
-                bounds = [0, *(np.flatnonzero(self.closes[whole]) + 1).tolist()]
-            elif lead:
-                bounds = [*np.flatnonzero(self.opens[whole]).tolist(), len(whole)]
-            else:
-                lines = np.flatnonzero(whole == self.line_end)
-                whole = np.delete(whole, lines)
-                bounds = [0, *(lines - np.arange(len(lines))).tolist(), len(whole)]
-            ids, width = whole.astype(self.dtype).tobytes(), self.dtype.itemsize
-            for x, a, b in zip(part, bounds[:-1], bounds[1:], strict=True):
-                words[x] = ids[a * width : b * width]
-        tail = self.marks
-        yield from ((x, words[w] + tail[m]) for x, w, m in plain)
-        for at in range(0, len(other), size):
-            part = other[at : at + size]
-            yield from zip(part, self._library([lead + x for x in part]), strict=True)
-
-    def _running(self, part: list[str], lead: str) -> str:
-        return " ".join(part) if self.drops_white else "".join([lead + x for x in part]) if lead else "\n".join(part)
-
-    def ids_of(self, texts: list[str]) -> list[bytes]:
-        collects = gc.isenabled()
-        gc.disable()  # a slice makes many lists and no cycles
-        try:
-            cut = [[*self.lines(x)] for x in texts]
-            return self._joined(cut, *self._learn(cut))
-        finally:
-            if collects:
-                gc.enable()
-
-    def _joined(self, cut: list[list[list[str]]], bare: dict[str, bytes], behind: dict[str, bytes]) -> list[bytes]:
+        self.cutter = Cutter(self.drops_white, special)
+        self.merges = self.library.model
+        self.bytes = {b: c for b, c in enumerate(byte_characters())}
+        self.words: Kept[bytes] = Kept()
+        self.others: Kept[bytes] = Kept(KEPT // 4)
+        self.tails: Kept[bytes] = Kept(KEPT // 4)
+        self._behind = np.zeros(256, np.int64)
+        self._behind[[*_BEHIND.encode()]] = np.arange(len(_BEHIND))
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array(self._code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _symbols(self, piece: str) -> str | None:
+        """The symbols that the library's merges start from, if the piece is one pre-token of letters; else None."""
         if self.drops_white:
-            return [b"".join(map(bare.__getitem__, lines[0])) for lines in cut]
-        out, rest = [], behind.__getitem__
-        for lines in cut:
-            ids = []
-            for line in lines:
-                ids.append(bare[line[0]])
-                if len(line) > 1:
-                    ids += map(rest, line[1:])
-            out.append(b"".join(ids))
+            if not is_word(piece):
+                return None
+            if piece.isascii():
+                return piece.lower()
+            # the library lower-cases letter by letter, behind its composition
+            normal = "".join(map(str.lower, unicodedata.normalize("NFC", piece)))
+            return normal.encode().decode("latin-1").translate(self.bytes) if is_word(normal) else None
+        word = piece[1:] if piece[:1] == " " else piece
+        if not is_word(word):
+            return None
+        return ("Ġ" + word if len(word) < len(piece) else word) if word.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+
+    def _word(self, symbols: str) -> bytes:
+        return array(self._code, [t.id for t in self.merges.tokenize(symbols)]).tobytes()
+
+    def _words(self, pieces: list[str]) -> Iterable[bytes | str]:
+        """Ids of words; of other pieces the piece itself, as punctuation behind them may not be told apart."""
+        for x in pieces:
+            symbols = self._symbols(x)
+            yield x if symbols is None else self._word(symbols)
+
+    def _tails(self, found: pa.Array, length: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The ids of what stands behind the first `length` bytes of each piece: distinct values, and which of them each piece has."""
+        ends = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+        more = np.diff(ends) - length
+        which = np.zeros(len(found), np.int64)
+        one = np.flatnonzero(more == 1)
+        data = np.frombuffer(found.buffers()[2] or b"", np.uint8)
+        which[one] = 1 + self._behind[data[ends[one + 1] - 1]]
+        names, numbers = [], {}
+        long = np.flatnonzero(more > 1)
+        for n, x, k in zip(long.tolist(), found.take(pa.array(long)).cast(pa.binary()).to_pylist(), more[long].tolist(), strict=True):
+            tail = x[-k:].decode()
+            if (number := numbers.get(tail)) is None:
+                number = numbers[tail] = len(numbers)
+                names.append(tail)
+            which[n] = 1 + len(_BEHIND) + number
+        return [b"", *self.tails.all([*_BEHIND], self._library), *self.tails.all(names, self._library)], which
+
+    def _pieces(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some distinct pieces one behind the other, and their numbers."""
+        bare = pc.utf8_rtrim(found, _BEHIND).dictionary_encode()
+        which = bare.indices.to_numpy().astype(np.int64)
+        words = self.words.all(strings(bare.dictionary), self._words)
+        tails, behind = self._tails(found, pc.binary_length(bare.dictionary).to_numpy()[which])
+        unknown = [n for n, x in enumerate(words) if type(x) is str]
+        if unknown:  # pieces with these are encoded whole
+            whole = np.zeros(len(words), bool)
+            whole[unknown] = True
+            at = np.flatnonzero(whole[which])
+            own = self.others.all(strings(found.take(pa.array(at))), self._library)
+            which[at], behind[at] = len(words) + np.arange(len(at)), 0
+            for n in unknown:
+                words[n] = b""
+            words += own
+        table, size = self._table([*words, *tails])
+        order = np.empty(2 * len(found), np.int64)
+        order[::2], order[1::2] = which, len(words) + behind
+        ids, ends = _gathered(table, size, order)
+        return ids, np.diff(ends[::2])
+
+    def _table(self, each: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(each), self.dtype), np.fromiter(map(len, each), np.int64, len(each)) // self.dtype.itemsize
+
+    def ids_of(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(texts):
+            return []
+        pieces, bounds, whole = self.cutter.cut(texts)
+        ids, ends = _gathered(*self._pieces(pieces.dictionary), pieces.indices.to_numpy())
+        data = ids.tobytes()
+        at = (ends[bounds] * self.dtype.itemsize).tolist()
+        out = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        if len(whole):
+            for k, own in zip(whole.tolist(), self._library(texts.take(pa.array(whole)).to_pylist()), strict=True):
+                out[k] = own
         return out
 
 
+def _gathered(table: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a table (sizes as given) in an order, one behind the other, and the bounds of each."""
+    first = np.cumsum(size) - size
+    n = size[order]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return table[np.arange(ends[-1]) + np.repeat(first[order] - ends[:-1], n)], ends
+
+
+def byte_characters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    moved = {b: 0x100 + n for n, b in enumerate(others)}
+    return [chr(moved.get(b, b)) for b in range(256)]
+
+
 @functools.cache
 def encoder(path: str) -> PieceEncoder:
     """One for each path and Python worker."""

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import as_schema, rows_of, spread, written
-from tabloom.llm.encoding import encoder
+from tabloom.llm.common import as_schema, rows_of, spread, with_before, written
+from tabloom.llm.encoding import SLICE, encoder
 
 #: Rows of one length that are ranked together.
-RANKED = 1000
+RANKED = 100
 #: Positions whose pieces, or sequences, are ranked together.
-RANGE = 8000
+RANGE = 1000
 
 
 def crc_of(ids: bytes, dtype: np.dtype) -> int:
@@ -50,9 +50,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         end, width = np.array([end_id], encode.dtype).tobytes(), encode.dtype.itemsize
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, SLICE):
             row, piece, start, length, crc = [], [], [], [], []
-            for n, ids in enumerate(encode.ids_of(batch.column(1).to_pylist())):
+            for n, ids in enumerate(encode.ids_of(batch.column(1))):
                 ids += end
                 total = len(ids) // width
                 first = total % size or size
@@ -162,7 +162,7 @@ def ranked(pieces: DataFrame, counts: dict[int, int], id_col: str) -> DataFrame:
     if "position" in pieces.columns:
         dealt, order = pieces.withColumn("bucket", F.floor(F.col("position") / RANGE)), ["position", *order]
     sums = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = sums.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
+    before = with_before(sums, ["length"], "bucket", {"n": "before"}).drop("n")
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order))
     return dealt.withColumn("inside", inside).join(before, ["length", "bucket"]).withColumn("rank", F.col("inside") - 1 + F.col("before")).drop("bucket", "inside", "before")
 
@@ -201,7 +201,7 @@ def _renumbered(out: DataFrame) -> DataFrame:
     """Sequences numbered by the position of their piece at offset 0: sums over ranges of positions, then inside a range."""
     first = out.where("offset = 0").select("sequence_id", "position", F.floor(F.col("position") / RANGE).alias("range"))
     sums = first.groupBy("range").agg(F.count("*").alias("n"))
-    before = sums.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    before = with_before(sums, [], "range", {"n": "before"}).drop("n")
     inside = F.row_number().over(Window.partitionBy("range").orderBy("position", "sequence_id"))
     numbers = first.withColumn("inside", inside).join(before, "range").select("sequence_id", (F.col("before") + F.col("inside") - 1).alias("number"))
     columns = [F.col("number").alias(c) if c == "sequence_id" else F.col(f"`{c}`") for c in out.columns if c != "position"]

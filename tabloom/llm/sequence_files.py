@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import as_schema, rows_of, scratch_path
-from tabloom.llm.encoding import encoder
+from tabloom.llm.encoding import SLICE, encoder
 
 #: Sequences in one record batch: the unit of random access.
 BATCH = 256
@@ -157,8 +157,8 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, path: str, len
         encode = encoder(tokenizer)
         end = np.array([end_id], encode.dtype).tobytes()
         writer, own, done = None, None, []
-        for batch in rows_of(batches):
-            ids = encode.ids_of(batch.column(1).to_pylist())
+        for batch in rows_of(batches, SLICE):
+            ids = encode.ids_of(batch.column(1))
             for doc, k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ids, strict=True):
                 if k != own:
                     if writer:

@@ -17,26 +17,20 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import as_schema, rows_of
-from tabloom.llm.encoding import KEPT, KEPT_LENGTH, PieceEncoder
+from tabloom.llm.encoding import SLICE, Cutter, Kept, byte_characters, strings
 
 #: Fixed value: the byte-level pre-token pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _byte_characters() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = (b for b in range(256) if b not in plain)
-    moved = {b: 0x100 + n for n, b in enumerate(others)}
-    return [chr(moved.get(b, b)) for b in range(256)]
-
-
 class MergeCounter:
     """Counts the tokens of texts for a byte-level vocabulary file."""
 
@@ -45,18 +39,17 @@ class MergeCounter:
             spec = json.load(f)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
-        self.first = [vocab[c] for c in _byte_characters()]
+        self.first = [vocab[c] for c in byte_characters()]
         pairs = (x if isinstance(x, list) else x.split(" ") for x in model["merges"])
         #: (left id, right id) -> (rank, joined id)
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
-        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        special = [x["content"] for x in spec["added_tokens"]]
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.words = regex.compile(PATTERN)
-        self.cutter = _Cutter(self.special, special)
-        #: Tokens of pieces without and with a space before them, and of pre-tokens.
-        self.bare: dict[str, int] = {}
-        self.behind: dict[str, int] = {}
-        self.kept_words: dict[str, int] = {}
+        self.cutter = Cutter(False, special)
+        #: Tokens of pieces and of pre-tokens.
+        self.kept: Kept[int] = Kept()
+        self.kept_words: Kept[int] = Kept()
 
     def merged(self, word: bytes) -> int:
         """Tokens of one pre-token."""
@@ -89,46 +82,30 @@ class MergeCounter:
                 heapq.heappush(heap, (found[0], lead, symbols[lead], joined, found[1]))
         return count
 
-    def piece(self, text: str) -> int:
-        """Tokens of a piece of text that no pre-token crosses the ends of."""
-        if self.special and self.special.fullmatch(text):
-            return 1
-        total = 0
-        for word in self.words.findall(text):
-            known = self.kept_words.get(word)
-            if known is None:
-                known = self.merged(word.encode("utf-8"))
-                if len(word) <= KEPT_LENGTH:
-                    if len(self.kept_words) >= KEPT // 2:
-                        self.kept_words.clear()
-                    self.kept_words[word] = known
-            total += known
-        return total
-
-    def count(self, text: str) -> int:
-        total, get = 0, self.behind.get
-        for first, *rest in self.cutter.lines(text):
-            known = self.bare.get(first)
-            total += self._learn(self.bare, first, "") if known is None else known
-            for x in rest:
-                known = get(x)
-                total += self._learn(self.behind, x, " ") if known is None else known
-        return total
-
-    def _learn(self, store: dict[str, int], text: str, lead: str) -> int:
-        known = self.piece(lead + text)
-        if len(text) <= KEPT_LENGTH:
-            if len(store) >= KEPT // 2:
-                store.clear()
-            store[text] = known
-        return known
-
-
-class _Cutter(PieceEncoder):
-    """Only the cut at white space, without the library."""
-
-    def __init__(self, special: re.Pattern | None, names: list[str]):
-        self.drops_white, self.special, self.names = False, special, names
+    def _merged(self, words: list[str]) -> list[int]:
+        return [self.merged(x.encode("utf-8")) for x in words]
+
+    def pieces(self, texts: list[str]) -> list[int]:
+        """Tokens of pieces of text that no pre-token crosses the ends of; a pre-token is merged once."""
+        found = [self.words.findall(x) for x in texts]
+        distinct = [*{w for words in found for w in words}]
+        known = dict(zip(distinct, self.kept_words.all(distinct, self._merged), strict=True))
+        return [sum(map(known.__getitem__, words)) for words in found]
+
+    def whole(self, text: str) -> int:
+        """Tokens of a text that is not cut: special strings first, as ordinary white space rules end at them."""
+        parts = self.special.split(text) if self.special else [text]
+        return sum(self.pieces(parts[::2])) + len(parts) // 2
+
+    def counts(self, texts: pa.Array | list[str]) -> np.ndarray:
+        """Tokens of each text: those of each distinct piece, once, summed by text."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        pieces, bounds, whole = self.cutter.cut(texts)
+        each = np.array(self.kept.all(strings(pieces.dictionary), self.pieces), np.int64)
+        out = np.diff(np.concatenate([[0], np.cumsum(each[pieces.indices.to_numpy()])])[bounds])
+        for k in whole.tolist():
+            out[k] = self.whole(texts[k].as_py())
+        return out
 
 
 @functools.cache
@@ -143,9 +120,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(tokenizer)
-        for batch in rows_of(batches):
-            texts = batch.column(1).to_pylist()
-            n = [counts.count(x) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.encode("utf-8")) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], schema=schema)
+        for batch in rows_of(batches, SLICE):
+            n = counts.counts(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(batch.column(1)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], schema=schema)
 
     return docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).mapInArrow(run, ddl)

@@ -10,7 +10,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from tabloom.llm import licences, merkle, packing, rules, sequence_files, token_counts
-from tabloom.llm.encoding import PieceEncoder
+from tabloom.llm.encoding import Kept, PieceEncoder
 from tabloom.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, id string"
@@ -43,10 +43,32 @@ def test_pieces_equal_the_library(name):
     assert encoder.ids_of(texts) == want and encoder.ids_of(texts) == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_letter_equals_the_library(name):
+    """Alone, inside a word, behind punctuation: letters that normalisation splits or lower-cases to several are no plain words."""
+    chars = [c for k in (*range(0x3000), *range(0xA000, 0xD800, 7), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)) if (c := chr(k)).isprintable() or c.isspace() or k < 0x300]
+    texts = [x for c in chars for x in (c, f"x{c}y", f"q {c} z. {c}B,")] + ["x सड़क y", "ΟΔΟΣ ΟΔΟΣ.", "İstanbul", " \n\n ", "a   b", "a\n\n", "\n\na  b ", "a\x00b c"]
+    encoder, library = PieceEncoder(tokenizer(name)), Tokenizer.from_file(tokenizer(name))
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.ids_of(texts)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+    if name == "byte_bpe_50k.json":
+        assert token_counts.MergeCounter(tokenizer(name)).counts(texts).tolist() == [*map(len, want)]
+
+
+def test_a_bounded_store_changes_nothing():
+    """A store that is emptied again and again, and pieces longer than it keeps."""
+    texts = [*noise(400, 8), *(f"w{i} w{i % 7}, " + "long" * (i % 40) for i in range(400))]
+    encoder, library = PieceEncoder(tokenizer("byte_bpe_50k.json")), Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    want = [np.array(e.ids, encoder.dtype).tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    encoder.words, encoder.others, encoder.tails = Kept(6), Kept(2), Kept(2)
+    assert [x for at in range(0, len(texts), 9) for x in encoder.ids_of(texts[at : at + 9])] == want
+
+
 def test_merge_counts_equal_the_library():
     texts = [*noise(3000, 2), *(t or "" for t in TEXTS)]
     counter, library = token_counts.MergeCounter(tokenizer("byte_bpe_50k.json")), Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    assert [counter.count(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counter.counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_counts(docs, none):
