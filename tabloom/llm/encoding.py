@@ -31,7 +31,7 @@ KEPT, KEPT_LENGTH = 1_000_000, 64
 #: Punctuation that may stand behind a word; a run of it is a pre-token of its own.
 _BEHIND = ".,;:!?"
 #: Bytes of text that are worked on at a time.
-SLICE = 16 << 20
+SLICE = 8 << 20
 #: What pieces are cut at, once it stands before each space and around each line end.
 _MARK = "\x00"
 #: Letters below this code point are letters in every version of Unicode that a library may follow.
