@@ -72,6 +72,25 @@ def as_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def whole_number_id(df: DataFrame, id_col: str) -> None:
+    """Raises unless ids are whole numbers, which operators need that work on ranges of ids."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}; this operator goes by ranges of ids and needs whole numbers")
+
+
+def range_of(cuts: list[int], key: str) -> Column:
+    """The number of cuts below the key, by halving."""
+
+    def part(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(key) > cuts[mid], part(mid + 1, hi)).otherwise(part(lo, mid))
+
+    return part(0, len(cuts))
+
+
 def spread(key: Column, buckets: Column | int) -> Column:
     """A bucket from 0 for an even spread of rows by their key."""
     return F.pmod(F.xxhash64(key), F.lit(buckets).cast("bigint") if isinstance(buckets, int) else buckets.cast("bigint"))

@@ -121,29 +121,56 @@ def brute_period(p, slots):
 
 
 def test_pfair_schedule(spark):
-    weights = {"a": 5.0, "b": 2.5, "c": 1.0, "d": 0.01}
-    rows = spark.createDataFrame([*weights.items()], "source string, weight double")
-    one = mixing.quotas(rows, 60).first()
-    assert sum(one["p"]) == 60 and min(one["p"]) >= 1
-    got = sorted(((r["slot"], r["source"], r["k"], r["release"], r["deadline"]) for r in mixing.period_schedule(rows, 60).collect()))
-    assert [("abcd".index(g[1]), g[2]) for g in got] == brute_period(one["p"], 60)
-    assert all(g[3] <= g[0] < g[4] for g in got)  # every window is met
-    for i, name in enumerate(one["names"]):  # never a whole block away from the weight
-        for t in range(61):
-            assert abs(sum(g[1] == name for g in got[:t]) - Fraction(t * one["p"][i], 60)) < 1
+    """A hot source, some hundred small ones and a tiny one over several periods: equal to brute force, and never off the exact weight by a block."""
+    rnd = random.Random(4)
+    weights = {"hot": 1 / 3, "tiny": 1e-3, **{f"s{i:03}": rnd.uniform(0.5, 2) / 400 for i in range(120)}}
+    rows = spark.createDataFrame([(f"={k}", w) for k, w in weights.items()], "source string, weight double")
+    quota = mixing.quotas(rows, 300)
+    one = quota.first()
+    v = [b - a for a, b in zip(one["cums"], one["cums"][1:])]  # noqa: B905
+    slots, many = one["slots"], 3
+    assert slots >= 300 and all(2 * one["total"] <= x * slots for x in v)
+    exact = {f"={k}": w / sum(weights.values()) for k, w in weights.items()}
+    assert all(abs(x / one["total"] - exact[name]) < 1e-5 for name, x in zip(one["names"], v, strict=True))
+    got = sorted(((r["slot"], r["source"], r["block"], r["release"], r["deadline"]) for r in mixing.periods(quota, many).collect()))
+    assert [g[0] for g in got] == list(range(many * slots)) and all(g[3] <= g[0] < g[4] for g in got)  # every window is met
+    had = [0] * len(v)
+    for q in range(many):
+        now = [(q + 1) * slots * c // one["total"] for c in one["cums"]]
+        p = [b - a - h for a, b, h in zip(now, now[1:], had)]  # noqa: B905
+        want = [(one["names"][i], had[i] + k) for i, k in brute_period(p, slots)]
+        assert [(g[1], g[2]) for g in got[q * slots : (q + 1) * slots]] == want
+        had = [h + x for h, x in zip(had, p, strict=True)]
+    for i, name in enumerate(one["names"]):  # a slot is half a block
+        n = 0
+        for t in range(many * slots + 1):
+            assert abs(Fraction(n) - Fraction(t * v[i], one["total"])) < 2
+            n += t < len(got) and got[t][1] == name
+
+
+def test_mix_of_many_sources(spark):
+    rows = spark.range(12_000).selectExpr("id as doc_id", "concat('s', id % 1500) as source", "repeat('x', cast(id % 90 as int)) as text")
+    got = mixing.schedule(rows, block=100, period=64).collect()
+    assert sorted(r["position"] for r in got) == list(range(12_000)) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
 
 
 def test_mix_keeps_every_row(spark):
-    rows = [(i, "x" * (i % 50), None if i % 7 == 0 else f"s{min(i % 5, 2)}", "z") for i in range(300)] + [(None, None, "s1", "z"), (5, "xxxxx", "s0", "z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, position string")
-    got = mixing.schedule(df, {"s0": 1.0, "s1": 2.0}, block=100, period=16).collect()
+    rows = [(i, "x" * (i % 50), None if i % 7 == 0 else ["s0", "s1", "s2", "", "s2"][i % 5], "z", "a", None) for i in range(300)] + [(None, None, "s1", "z", "b", 1), (5, "xxxxx", "s0", "z", "c", 2), (5, "xxxxx", "s0", "z", "c", 2), (None, None, None, "y", "b", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, position string, _id string, _position long")
+    weights = {"s0": 1.0, "s1": 2.0, "s2": float("nan"), "absent": 5.0}
+    got = mixing.schedule(df, weights, block=100, period=16).collect()
     assert sorted(r["position"] for r in got) == list(range(len(rows))) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
     order = sorted(got, key=lambda r: r["position"])
     assert [r["slot"] for r in order] == sorted(r["slot"] for r in got)
-    out = mixing.mixed(df, {"s0": 1.0, "s1": 2.0}, block=100, period=16)
+    assert {r["source"] for r in got} == {None, "", "s0", "s1", "s2"} and all((r["source"] is None) == (rows[r["doc_id"]][2] is None) for r in got if r["doc_id"] not in (None, 5))
+    out = mixing.mixed(df, weights, block=100, period=16)
     assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
-    assert [r["doc_id"] for r in out.collect() if r["doc_id"] != 5] == [r["doc_id"] for r in order if r["doc_id"] != 5]
+    assert [r["doc_id"] for r in out.collect() if r["doc_id"] not in (5, None)] == [r["doc_id"] for r in order if r["doc_id"] not in (5, None)]
     assert mixing.schedule(df.limit(0)).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
+    single = mixing.schedule(df.where("source = 's0'"), block=100).collect()  # a source alone needs no schedule
+    assert sorted(r["position"] for r in single) == list(range(len(single))) and all(r["release"] <= r["slot"] < r["deadline"] for r in single)
+    with pytest.raises(TypeError):
+        mixing.schedule(spark.createDataFrame([("a", "x", "s")], "doc_id string, text string, source string"))
 
 
 PAGES = {
