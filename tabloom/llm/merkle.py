@@ -3,76 +3,107 @@
 A paragraph is a line with its line end, so the paragraphs of a text are the whole text. A section ends
 at a blank paragraph, or at a paragraph whose digest says so (content-defined: an edit moves no far
 boundary). A section's digest is that of its paragraphs' digests, the root is that of the sections'
-digests. Equal roots mean equal texts; different trees are compared from the top: equal sections are
-passed over, then equal paragraphs, and what is left is compared by short runs of words. The share of bytes
-found in both (twice the common bytes over the sum) is the likeness; `changes` gives the differing
-paragraphs.
+digests. The leaves below a paragraph are its runs of a few words, also cut where the words say so.
+
+The fingerprint is the root and, in base64, the tree below it: how many paragraphs each section has, how many runs each
+paragraph has, 32 bits of each paragraph's digest, and of each run 24 bits of its checksum and its size in bytes; about a fifth
+of the text's size. Two fingerprints alone tell all that is compared: equal roots mean equal texts; different trees
+are compared from the top: equal sections are passed over, then equal paragraphs (`changes` gives the rest: where an
+edit is), and the runs of what is left are held against each other. The share of bytes found in both (twice the
+common bytes over the sum) is the likeness.
 
 Defined results: a null text is the empty text (no paragraph; two such are alike, 1.0); rows with equal ids
-follow each other by text, rows with null ids come last in descending order; a table of one row is its own
-next document; an empty table gives an empty table; other columns are not read.
+follow each other by text, rows with null ids come last in descending order; ids must be whole numbers (TypeError); a table of
+one row is its own next document; an empty table gives an empty table; a text of any length is worked on whole; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
-import os
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import as_schema, rows_of
+from tabloom.llm.common import as_schema, range_of, rows_of, whole_number_id
 
 #: A paragraph ends its section if its digest's first byte is a multiple of this; a run of words ends behind a
 #: word whose checksum is a multiple of RUN, when it has LEAST words at least, or at MOST words.
 SECTION, RUN, LEAST, MOST = 8, 3, 2, 8
+#: Runs of more bytes (long words, scripts without spaces) are cut into steps.
+WIDE, STEP = 128, 16
+#: The runs of paragraphs up to this size (bytes) are kept for the next tree, and of how many paragraphs.
+SHORT, KEPT = 8192, 4096
 
 
 def _digest(data: bytes, size: int = 16) -> bytes:
     return hashlib.blake2b(data, digest_size=size).digest()
 
 
+def _runs(paragraph: bytes) -> list[int]:
+    """The runs of a paragraph: checksum (24 bits) and size (8 bits) of each; the sizes add up to the paragraph's."""
+    checksum, out, first, at = zlib.crc32, [], 0, 0
+    words = paragraph.split(b" ")
+    last = len(words) - 1
+    start = 0
+    for n, word in enumerate(words):
+        at += len(word) + (n < last)
+        if n == last or n - first >= LEAST - 1 and (n - first == MOST - 1 or not checksum(word) % RUN):
+            if at - start <= WIDE:
+                out.append((checksum(paragraph[start:at]) & 0xFFFFFF) << 8 | at - start)
+            else:
+                out += [(checksum(x) & 0xFFFFFF) << 8 | len(x) for k in range(start, at, STEP) for x in (paragraph[k : min(at, k + STEP)],)]
+            first, start = n + 1, at
+    return out
+
+
+_short_runs = functools.lru_cache(KEPT)(_runs)
+
+
 class Tree:
-    """The Merkle tree of one text."""
+    """The Merkle tree of one text, or of one fingerprint: what a fingerprint holds.
+
+    root: hex; sections: paragraphs of each; paragraphs: runs of each; digests: 32 bits of each paragraph's; runs: checksum and size.
+    """
 
-    __slots__ = ("_runs", "digests", "paragraphs", "root", "sections", "size")
+    __slots__ = ("digests", "paragraphs", "root", "runs", "sections", "size")
 
     def __init__(self, text: str):
         data = text.encode("utf-8")
+        lines = _lines(data)
+        whole = [_digest(x) for x in lines]
+        ends = [at + 1 for at, (d, x) in enumerate(zip(whole, lines, strict=True)) if not d[0] % SECTION or at == len(whole) - 1 or x == b"\n"]
+        starts = [0, *ends[:-1]] if ends else []
+        self.root = _digest(b"".join(_digest(b"".join(whole[a:b])) for a, b in zip(starts, ends, strict=True)), 32).hex()
+        self.sections = np.array([b - a for a, b in zip(starts, ends, strict=True)], np.uint32)
+        self.digests = np.frombuffer(b"".join(x[:4] for x in whole), "<u4")
+        runs = [_short_runs(x) if len(x) <= SHORT else _runs(x) for x in lines]
+        self.paragraphs = np.array([len(x) for x in runs], np.uint32)
+        self.runs = np.array([r for x in runs for r in x], np.uint32)
         self.size = len(data)
-        self.paragraphs = data.splitlines(keepends=True) if b"\r" not in data and b"\x0b" not in data and b"\x0c" not in data else _lines(data)
-        self.digests = [_digest(x) for x in self.paragraphs]
-        #: (digest, first paragraph, paragraph behind)
-        self.sections: list[tuple[bytes, int, int]] = []
-        first = 0
-        for at, (d, x) in enumerate(zip(self.digests, self.paragraphs, strict=True)):
-            if not d[0] % SECTION or at == len(self.digests) - 1 or x == b"\n":
-                self.sections.append((_digest(b"".join(self.digests[first : at + 1])), first, at + 1))
-                first = at + 1
-        self.root = _digest(b"".join(x[0] for x in self.sections), 32)
-        self._runs: dict[int, list[bytes]] = {}
 
     @property
     def fingerprint(self) -> str:
-        return self.root.hex()
-
-    def runs(self, at: int) -> list[bytes]:
-        """The runs of words of one paragraph."""
-        if at not in self._runs:
-            words, out, first = self.paragraphs[at].split(b" "), [], 0
-            checksum = zlib.crc32
-            for n, word in enumerate(words):
-                if n - first >= LEAST - 1 and (n - first == MOST - 1 or not checksum(word) % RUN):
-                    out.append(b" ".join(words[first : n + 1]))
-                    first = n + 1
-            if first < len(words):
-                out.append(b" ".join(words[first:]))
-            self._runs[at] = out
-        return self._runs[at]
+        parts = [np.array([len(self.sections), len(self.paragraphs)]), self.sections, self.paragraphs, self.digests, self.runs]
+        return f"{self.root}.{base64.b64encode(np.concatenate(parts).astype('<u4').tobytes()).decode()}"
+
+    @classmethod
+    def read(cls, fingerprint: str) -> Tree:
+        """The tree of a fingerprint."""
+        out = cls.__new__(cls)
+        out.root, _, rest = fingerprint.partition(".")
+        x = np.frombuffer(base64.b64decode(rest), "<u4")
+        n, m = int(x[0]), int(x[1])
+        out.sections, out.paragraphs, out.digests, out.runs = x[2 : 2 + n], x[2 + n : 2 + n + m], x[2 + n + m : 2 + n + 2 * m], x[2 + n + 2 * m :]
+        out.size = int((out.runs & 0xFF).sum())
+        return out
 
 
 def _lines(data: bytes) -> list[bytes]:
@@ -80,7 +111,7 @@ def _lines(data: bytes) -> list[bytes]:
     return [x + b"\n" for x in data.split(b"\n")[:-1]] + ([x] if (x := data.rpartition(b"\n")[2]) else [])
 
 
-def _unmatched(items: Iterable[tuple[bytes, int]], other: Counter) -> list[int]:
+def _unmatched(items: Iterable[tuple[object, int]], other: Counter) -> list[int]:
     """Numbers of the items that `other` (used up as they match) does not hold."""
     out = []
     for digest, at in items:
@@ -91,13 +122,19 @@ def _unmatched(items: Iterable[tuple[bytes, int]], other: Counter) -> list[int]:
     return out
 
 
+def _sections(tree: Tree) -> list[tuple[bytes, int, int]]:
+    """(digests, first paragraph, paragraph behind) of each section."""
+    ends = np.cumsum(tree.sections, dtype=np.int64).tolist()
+    return [(tree.digests[a:b].tobytes(), a, b) for a, b in zip([0, *ends[:-1]], ends)] if ends else []  # noqa: B905
+
+
 def _left(a: Tree, b: Tree) -> list[int]:
     """Paragraphs of a that are in no section and no paragraph of b."""
-    sections = _unmatched(((x[0], n) for n, x in enumerate(a.sections)), Counter(x[0] for x in b.sections))
-    shared = _unmatched(((x[0], n) for n, x in enumerate(b.sections)), Counter(x[0] for x in a.sections))
-    own = [k for n in sections for k in range(*a.sections[n][1:])]
-    rest = Counter(b.digests[k] for n in shared for k in range(*b.sections[n][1:]))
-    return _unmatched(((a.digests[k], k) for k in own), rest)
+    own, other = _sections(a), _sections(b)
+    mine = _unmatched(((x[0], n) for n, x in enumerate(own)), Counter(x[0] for x in other))
+    theirs = _unmatched(((x[0], n) for n, x in enumerate(other)), Counter(x[0] for x in own))
+    rest = Counter(int(d) for n in theirs for d in b.digests[other[n][1] : other[n][2]])
+    return _unmatched(((int(a.digests[k]), k) for n in mine for k in range(*own[n][1:])), rest)
 
 
 def changes(a: Tree, b: Tree) -> list[int]:
@@ -105,24 +142,26 @@ def changes(a: Tree, b: Tree) -> list[int]:
     return [] if a.root == b.root else _left(a, b)
 
 
+def _runs_of(tree: Tree, paragraphs: list[int]) -> np.ndarray:
+    """The runs of some paragraphs."""
+    ends = np.cumsum(tree.paragraphs, dtype=np.int64)
+    parts = [tree.runs[ends[k] - int(tree.paragraphs[k]) : ends[k]] for k in paragraphs]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
 def likeness(a: Tree, b: Tree) -> float:
     """From 0 (nothing in common) to 1 (equal roots, and only these)."""
     if a.root == b.root:
         return 1.0
     both = a.size + b.size
-    mine, theirs = _left(a, b), _left(b, a)
-    common = a.size - sum(len(a.paragraphs[k]) for k in mine)
-    there = Counter(x for k in theirs for x in b.runs(k))
-    alone = None
-    for k in mine:
-        for x in a.runs(k):
-            if there.get(x, 0) > 0:
-                there[x] -= 1
-                common += len(x) + 1
-            elif alone is None:
-                alone = x
-    if alone:  # the run that an edit begins in
-        common += len(os.path.commonprefix([alone, next((x for x, n in there.items() if n > 0), b"")]))
+    mine, theirs = _runs_of(a, _left(a, b)), _runs_of(b, _left(b, a))
+    common = a.size - int((mine & 0xFF).sum())
+    x, n = np.unique(mine, return_counts=True)
+    y, m = np.unique(theirs, return_counts=True)
+    at = np.searchsorted(y, x)
+    there = np.flatnonzero(at < len(y))
+    there = there[y[at[there]] == x[there]]
+    common += int((np.minimum(n[there], m[at[there]]) * (x[there] & 0xFF)).sum())
     return max(0.0, min(2 * common / both, 1 - 1 / both))
 
 
@@ -138,19 +177,14 @@ def _ordered_with_next(docs: DataFrame, id_col: str, text_col: str, shards: int)
     One shuffle of the texts; the cuts and the largest id of each range (as many as partitions) go to the driver.
     """
     least = -(1 << 63)
+    whole_number_id(docs, id_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce(F.col("id").cast("bigint"), F.lit(least)))
     keys = rows.select("key")
     found = keys.agg(F.percentile_approx("key", [k / shards for k in range(1, shards)], 10_000)).first()[0] if shards > 1 else []
     cuts = sorted(set(found or []))
 
-    def part(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("key") > cuts[mid], part(mid + 1, hi)).otherwise(part(lo, mid))
-
-    shard = part(0, len(cuts))
+    shard = range_of(cuts, "key")
     most = {r[0]: r[1] for r in keys.groupBy(shard.alias("shard")).agg(F.max("key")).collect()}
     own = sorted(most)
     above = {k: own[(n + 1) % len(own)] for n, k in enumerate(own)}  # of the highest: the lowest

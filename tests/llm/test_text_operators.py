@@ -158,6 +158,48 @@ def test_token_files_round_trip(spark, docs, none, tmp_path):
     assert sequence_files.token_files(none, path, 2).count() == 0
 
 
+def brute_likeness(a, b):
+    """Runs of two texts held against each other one by one, without trees."""
+
+    def runs(text):
+        out = []
+        for line in __import__("re").findall(rb"[^\n]*\n|[^\n]+", text.encode()):
+            cut = []
+            for word in __import__("re").findall(rb"[^ ]* |[^ ]+$", line) or [line]:
+                cut.append(word)
+                if len(cut) == 8 or len(cut) >= 2 and zlib.crc32(word.removesuffix(b" ")) % 3 == 0:
+                    out.append(b"".join(cut))
+                    cut = []
+            out += [b"".join(cut)] if cut else []
+        return [y for x in out for y in ([x] if len(x) <= 128 else [x[k : k + 16] for k in range(0, len(x), 16)])]
+
+    if a == b:
+        return 1.0
+    x, y = runs(a), runs(b)
+    total, common = sum(map(len, x + y)), 0
+    for r in x:
+        if r in y:
+            y.remove(r)
+            common += len(r)
+    return min(2 * common / total, 1 - 1 / total)
+
+
+def test_merkle_likeness_comes_from_fingerprints():
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(60)] + ["é" * 3, "x" * 300, "。"]
+    line = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 40)))
+    texts = ["", "a", "a b", "\n", "\n\n", " ", "y" * 1000, *("\n".join(line() for _ in range(rnd.randint(0, 12))) for _ in range(40))]
+    texts += [merkle.edited(x, y) for x, y in zip(texts, texts[1:])]  # noqa: B905
+    trees = [merkle.Tree(x) for x in texts]
+    read = [merkle.Tree.read(t.fingerprint) for t in trees]
+    assert [t.fingerprint for t in read] == [t.fingerprint for t in trees] and [t.size for t in read] == [len(x.encode()) for x in texts]
+    for _ in range(600):
+        i, j = rnd.randrange(len(texts)), rnd.randrange(len(texts))
+        assert (trees[i].fingerprint == trees[j].fingerprint) == (texts[i] == texts[j])
+        assert merkle.likeness(read[i], read[j]) == pytest.approx(brute_likeness(texts[i], texts[j]), abs=1e-12), (texts[i], texts[j])
+        assert merkle.changes(read[i], read[j]) == merkle.changes(trees[i], trees[j])
+
+
 def test_merkle_equality_and_likeness():
     a, b = merkle.Tree("x y z\nsecond line here\n"), merkle.Tree("x y z\nsecond line here\n")
     assert a.fingerprint == b.fingerprint and merkle.likeness(a, b) == 1.0
@@ -167,7 +209,7 @@ def test_merkle_equality_and_likeness():
     assert merkle.changes(a, b) == [77] and 0.98 < merkle.likeness(a, b) < 1
     assert merkle.likeness(a, merkle.Tree("".join(chr(200 + i % 50) for i in range(500)))) < 0.05
     assert merkle.likeness(merkle.Tree(""), merkle.Tree("")) == 1.0 and merkle.likeness(merkle.Tree(""), merkle.Tree("a")) == 0.0
-    assert b"".join(merkle.Tree("a\r\n\x0bb\x0c\n\nc").paragraphs) == b"a\r\n\x0bb\x0c\n\nc"
+    assert merkle._lines(b"a\r\n\x0bb\x0c\n\nc") == [b"a\r\n", b"\x0bb\x0c\n", b"\n", b"c"]
 
 
 def test_merkle_rows(docs, none):
