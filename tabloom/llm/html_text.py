@@ -1,11 +1,11 @@
 """Main text of HTML pages, without the templates of their site.
 
-Each page is read once into element subtrees. What says of itself that it is no content (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments; by element, role, class or id) is left out at once, and
-if the page has an article (or a main element) only that is read. Every block subtree that is left is hashed (its
-element, texts and inner hashes); Spark counts on how many pages of a host each hash is, pages of equal text
-counting once, and subtrees that recur across many pages of the host are deleted: inside an article those on
-at least half of them, elsewhere those on a tenth, and on `least` pages in any case.
+Each page is read once into element subtrees. Every block subtree of the whole page is hashed (its element, texts and inner
+hashes); Spark counts on how many pages of a host each hash is, pages of equal text counting once, and subtrees that
+recur across many pages of the host are deleted: inside an article's own text those on at least half of them,
+elsewhere those on a tenth, and on `least` pages in any case. Of what is left, that goes which says of itself that it is no content
+(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments; by element, role, class or id),
+and if the page has an article (or a main element) only that is read. How many blocks each step took is returned.
 
 The pages are read twice (count, then extract) rather than stored parsed. Counts are pre-aggregated before their
 shuffle, so a host with a third of all pages is spread. A host has at most (blocks of a page / share)
@@ -75,25 +75,30 @@ def _no_content(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+#: What an open element's text is: content, a block that says it is none, or none of a line (which is passed over).
+CONTENT, LISTED, PASSED = 0, 1, 2
+
+
 class Page:
     """One page as blocks of text, each with the subtrees it lies in.
 
-    blocks: texts in page order; subtrees: (hash, first block, block behind, in an article) of each block element
-    with text, inner before outer.
+    blocks: texts in page order; listed: whether a block says of itself that it is no content; subtrees: (hash, first block,
+    block behind, in an article's own text) of each block element with text, inner before outer.
     """
 
     def __init__(self, source: str):
         self.blocks: list[str] = []
+        self.listed: list[bool] = []
         self.in_article: list[bool] = []
         self.in_main: list[bool] = []
         self.subtrees: list[tuple[int, int, int, bool]] = []
         self._held: list[str] = []
-        #: Open elements: [tag, first block, parts of the hash, no content, article depth, main depth]
-        self._open: list[list] = [["", 0, [], False, 0, 0]]
+        #: Open elements: [tag, first block, parts of the hash, kind of text, article depth, main depth]
+        self._open: list[list] = [["", 0, [], CONTENT, 0, 0]]
         self._read(source)
 
     def _text(self, text: str) -> None:
-        if not self._open[-1][3]:
+        if self._open[-1][3] != PASSED:
             self._held.append(html.unescape(text) if "&" in text else text)
 
     def _flush(self) -> None:
@@ -103,32 +108,34 @@ class Page:
             if text:
                 top = self._open[-1]
                 self.blocks.append(text)
+                self.listed.append(top[3] == LISTED)
                 self.in_article.append(top[4] > 0)
                 self.in_main.append(top[5] > 0)
                 top[2].append(text)
 
     def _enter(self, tag: str, attributes: str) -> None:
         top = self._open[-1]
-        article, main = top[4], top[5]
-        dropped = top[3] or _no_content(tag, attributes, article > 0 or main > 0)
+        kind, article, main = top[3], top[4], top[5]
         if tag in INLINE:
-            if dropped and not top[3]:
-                self._open.append([tag, len(self.blocks), [], True, article, main])
+            if kind == CONTENT and _no_content(tag, attributes, article > 0 or main > 0):
+                self._open.append([tag, len(self.blocks), [], PASSED, article, main])
             return
         self._flush()
-        if not top[3]:
+        if kind == CONTENT:
+            if _no_content(tag, attributes, article > 0 or main > 0):
+                kind = LISTED
             main_role = "main" in attributes and re.search(r"role\s*=\s*[\"']?main\b", attributes) is not None
             article, main = article + (tag == "article"), main + (tag == "main" or main_role)
-        self._open.append([tag, len(self.blocks), [], dropped, article, main])
+        self._open.append([tag, len(self.blocks), [], kind, article, main])
 
     def _leave(self) -> None:
-        tag, first, parts, dropped, article, _ = self._open[-1]
+        tag, first, parts, kind, article, _ = self._open[-1]
         if not (tag in INLINE):
             self._flush()
         self._open.pop()
-        if not dropped and len(self.blocks) > first:
+        if kind != PASSED and len(self.blocks) > first:
             value = xxhash.xxh64_intdigest("\x00".join((tag, *parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
-            self.subtrees.append((value, first, len(self.blocks), article > 0))
+            self.subtrees.append((value, first, len(self.blocks), article > 0 and kind == CONTENT))
             self._open[-1][2].append(f"\x01{value}")
 
     def _close(self, tag: str) -> None:
@@ -196,20 +203,31 @@ class Page:
         self._flush()
 
     def _scope(self) -> list[bool]:
-        """Which blocks are read: those in articles, else those in main, else all."""
-        return self.in_article if any(self.in_article) else self.in_main if any(self.in_main) else [True] * len(self.blocks)
-
-    def text(self, recurring: frozenset[int] | set[int] = frozenset()) -> str:
-        keep = self._scope()[:]
+        """Which blocks the lists leave: of those that don't say they are no content, those in articles, else those in main, else all."""
+        own = [not x for x in self.listed]
+        for inside in (self.in_article, self.in_main):
+            if any(a and b for a, b in zip(own, inside, strict=True)):
+                return [a and b for a, b in zip(own, inside, strict=True)]
+        return own
+
+    def cleared(self, recurring: frozenset[int] | set[int] = frozenset()) -> tuple[str, int, int]:
+        """The main text; how many blocks lie in recurring subtrees, and how many more the lists took."""
+        kept = [True] * len(self.blocks)
         for value, first, behind, _ in self.subtrees if recurring else ():
             if value in recurring:
-                keep[first:behind] = [False] * (behind - first)
-        return " ".join(x for x, k in zip(self.blocks, keep, strict=True) if k)
+                kept[first:behind] = [False] * (behind - first)
+        text = [x for x, a, b in zip(self.blocks, kept, self._scope(), strict=True) if a and b]
+        return " ".join(text), len(kept) - sum(kept), sum(kept) - len(text)
+
+    def text(self, recurring: frozenset[int] | set[int] = frozenset()) -> str:
+        return self.cleared(recurring)[0]
 
     def hashes(self) -> dict[int, bool]:
-        """Hashes of the subtrees in what is read, and whether they lie in an article."""
-        scope = self._scope()
-        return {value: inside for value, first, _, inside in self.subtrees if scope[first]}
+        """Hashes of all subtrees, and whether they lie in an article's own text."""
+        out: dict[int, bool] = {}
+        for value, _, _, inside in self.subtrees:
+            out[value] = out.get(value, False) or inside
+        return out
 
 
 def host_of(url: Column) -> Column:
@@ -244,7 +262,7 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **limits) -> DataFrame:
-    """id, url, text and n_chars of every page."""
+    """id, url, text, n_chars, n_blocks, n_template and n_listed (blocks of the page, and those that went as templates and by the lists) of every page."""
     found = written(templates(pages, id_col, url_col, html_col, **limits), "templates")
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"), host_of(F.col(f"`{url_col}`").cast("string")).alias("host"))
     size = found.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
@@ -254,12 +272,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
-    ddl = f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars bigint"
+    ddl = f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars bigint, n_blocks int, n_template int, n_listed int"
     schema = as_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            texts = [Page(source).text(frozenset(hashes or ())) for source, hashes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], schema=schema)
+            pages_ = [(p, p.cleared(frozenset(hashes or ()))) for source, hashes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) for p in (Page(source),)]
+            texts = [x for _, (x, _, _) in pages_]
+            counts = [[len(p.blocks) for p, _ in pages_], [x[1] for _, x in pages_], [x[2] for _, x in pages_]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), *(pa.array(x, pa.int32()) for x in counts)], schema=schema)
 
     return joined.select("id", "url", "html", "hashes").mapInArrow(run, ddl)

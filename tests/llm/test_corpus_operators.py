@@ -208,6 +208,32 @@ def test_site_templates_go_and_copies_stay(spark):
         html_text.SMALL = old
 
 
+def test_furniture_goes_by_counts_alone(spark):
+    """No telling names: what recurs on a host goes, equal to a count by brute force, and the blocks of each step are told."""
+    rnd = random.Random(3)
+    words = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    rows, want = [], {}
+    for h in range(4):
+        top, side, end = ("".join(f"<div><span>{words(2)}</span></div>" for _ in range(5)) for _ in range(3))
+        for i in range(25 if h else 3):  # too few pages on the first host
+            own = [words(30) for _ in range(4)]
+            body = "".join(f"<p>{x}</p>" for x in own)
+            rows.append((len(rows), f"https://u@Host{h}.example:80/{i}", f"<body><div>{top}</div><table><tr><td>{side}</td><td>{body}</td></tr></table><nav>menu {i}</nav><div>{end}</div></body>"))
+            want[rows[-1][0]] = " ".join(own) if h else None
+    rows.append((len(rows), rows[-1][1], "<body>" + "<p>" + "long " * 300_000 + "</p></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_text.main_text(df).collect()}
+    for k, text in want.items():
+        assert text is None or (got[k]["text"] == text and got[k]["n_template"] == 15 and got[k]["n_listed"] == 1 and got[k]["n_blocks"] == 20)
+    assert got[0]["n_template"] == 0 and got[rows[-1][0]]["n_chars"] == 1_499_999
+    by: dict = {}
+    for _, url, source in rows:
+        page = Page(source)
+        by.setdefault(url.split("@")[1].split(":")[0].lower(), {}).setdefault(page.text(), set()).update(page.hashes())
+    brute = {(h, v) for h, texts in by.items() for v in set().union(*texts.values()) if sum(v in x for x in texts.values()) >= max(5, 0.1 * len(texts))}
+    assert {(r["host"], v) for r in html_text.templates(df).collect() for v in r["hashes"]} == brute
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.01/labels.parquet")
     model = cotraining.fit(docs, labels.where("doc_id % 4 <> 0"))
