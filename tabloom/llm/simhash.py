@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import as_schema, checkpointed, rows_of, written
@@ -79,7 +79,11 @@ def ball(width: int, radius: int) -> list[int]:
 
 
 def near_links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
-    """Links (a, b) between different fingerprints of `fps` (column fp, distinct rows) at most `radius` bits apart, enough to connect all that are."""
+    """Links (a, b) between nodes of different fingerprints of `fps` (columns fp, node; distinct rows) at most `radius` bits apart, enough to connect all that are.
+
+    `segments` weighs tables against look-ups, and any gives the same links: 3 (the default) looks up 46 keys a fingerprint in
+    buckets of n / 2**21, and 2, for more than some 10**8 different fingerprints, 562 keys in buckets of n / 2**32.
+    """
     parts = layout(segments, radius)
 
     def value(at: int, width: int):
@@ -91,12 +95,14 @@ def near_links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
         return F.transform(F.array(*(F.lit(m).cast("bigint") for m in ball(width, r))), lambda m: F.struct(F.lit(k).alias("k"), value(at, width).bitwiseXOR(m).alias("v")))
 
     near = F.concat(*(around(k, *part) for k, part in enumerate(parts)))
-    table = fps.select("fp", F.inline(own)).withColumn("star", F.min("fp").over(Window.partitionBy("k", "v")))
-    probes = fps.select(F.col("fp").alias("a"), F.inline(near))
+    keys = fps.select("fp", "node", F.inline(own))
+    # the smallest of a bucket, summed up before the shuffle: a crowded bucket is no task's own
+    stars = keys.groupBy("k", "v").agg(F.min("fp").alias("star"))
+    probes = fps.select(F.col("fp").alias("a"), F.col("node").alias("own"), F.inline(near))
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    p, t = probes.alias("p"), table.alias("t")
+    p, t = probes.alias("p"), keys.join(stars, ["k", "v"]).alias("t")
     on = (F.col("p.k") == F.col("t.k")) & (F.col("p.v") == F.col("t.v")) & (F.col("a") != F.col("fp")) & (apart("a", "fp") <= radius) & ((F.col("fp") == F.col("star")) | (apart("a", "star") > radius) | (apart("fp", "star") > radius))
-    return p.join(t, on).select("a", F.col("fp").alias("b"))
+    return p.join(t, on).select(F.col("own").alias("a"), F.col("node").alias("b"))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -124,19 +130,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def rooted(prints: DataFrame, radius: int = 4, segments: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """fp, the least id of its rows, and root: one fingerprint that stands for the whole component."""
-    fps = written(prints.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least")), "fps")
-    roots = components(near_links(fps.select("fp"), radius, segments))
+    """fp and root: the node of the fingerprint that stands for the whole component, which is that of the least id.
+
+    A node is (no id, least id of the fingerprint's rows, fp): the root names its component, and nothing is gathered by it.
+    """
+    least = F.min(f"`{id_col}`")
+    fps = written(prints.groupBy("fp").agg(least.alias("least")).select("fp", F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("fp")).alias("node")), "fps")
+    roots = components(near_links(fps, radius, segments)).select(F.col("node.fp").alias("of"), "root")
     # a root is a node of its component but not of `roots`
-    return fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return fps.join(roots, fps.fp == roots.of, "left").select("fp", F.coalesce("root", "node").alias("root"))
 
 
 def grouped(prints: DataFrame, radius: int = 4, segments: int = 3, id_col: str = "doc_id") -> DataFrame:
     """prints (id, fp) with component_id. `prints` is read several times: pass a written table."""
-    own = rooted(prints, radius, segments, id_col)
-    named = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = own.join(named, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp")
+    return prints.join(rooted(prints, radius, segments, id_col).select("fp", F.col("root.id").alias("component_id")), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: int = 4, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,12 +256,13 @@ def without_copies(docs: DataFrame, radius: int = 4, segments: int = 3, id_col:
     shingles of five words is 0.8 or more. Rows of equal or null ids are told apart by a hash of the whole row.
     """
     prints = written(prepared(docs, id_col, text_col), "fingerprints")
-    roots = written(rooted(prints, radius, segments, id_col).select("fp", "root"), "roots")
+    roots = written(rooted(prints, radius, segments, id_col), "roots")
     above = components(similar_links(docs, prints, roots, id_col, text_col)).withColumnRenamed("root", "top")
     tops = roots.join(above, roots.root == above.node, "left").select("fp", F.coalesce("top", "root").alias("root"))
     own = F.col(f"`{id_col}`")
     best = prints.join(tops, "fp").groupBy("root").agg(F.min(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("key"))).alias("x"))
-    kept = written(best.select(F.col("x.id").alias("_id"), F.col("x.key").alias("_key")), "kept")
-    out = docs.withColumn("_own", row_key(docs)).join(kept, own.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_semi")
+    kept = written(best.select(F.col("x.id").alias("id"), F.col("x.key").alias("key")), "kept")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("own"), row_key(docs).alias("hash"))
+    out = rows.join(kept, F.col("own").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("key")), "left_semi")
     repeated = prints.groupBy(own, "key").count().where("count > 1").limit(1).count()
-    return (out.dropDuplicates([id_col, "_own"]) if repeated else out).drop("_own")
+    return (out.dropDuplicates(["own", "hash"]) if repeated else out).select("row.*")
