@@ -10,7 +10,7 @@ punctuation (a short line that doesn't end as a sentence does).
 
 Defined results: a null text has no words and is rejected; equal rows get equal results; a text of any length
 is worked on whole, in memory of a few times its own size; an empty table gives an empty table. Columns are
-read by name, `_`-prefixed working columns never clash with the table's own.
+read by name; working columns are beside the row and not in it, so no name clashes.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def repeated_words(words: Column, window: int = 5) -> Column:
 
 
 def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with one column _q: the base figures, base_failed, lines, kept_lines, kept and clean_text (the lines that stay)."""
+    """Rows (row: all columns of docs; q: the base figures, base_failed, lines, kept_lines, kept and clean_text, the lines that stay)."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
     def base(words: Column) -> list[Column]:
@@ -102,33 +102,35 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def chars(x: Column) -> Column:
         return F.aggregate(x, F.lit(0).cast("bigint"), lambda a, line: a + F.length(line))
 
-    first = docs.withColumn("_q", F.struct(
+    first = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(
         let(words_of(text), lambda w: F.struct(*base(w))).alias("w"),
         let(F.split(text, "\n"), lines).alias("l"),
         F.length(F.regexp_replace(text, f"[{BLANK}]+", "")).cast("bigint").alias("word_chars"),
         count_of(text, SYMBOLS).alias("n_symbols"),
-    ))
-    w, line = F.col("_q.w"), F.col("_q.l")
+    ).alias("q"))
+    w, line = F.col("q.w"), F.col("q.l")
     failed = (w["n_words"] < 10) | (100 * w["n_repeat_words"] > 20 * w["n_words"])
-    return first.withColumn("_q", F.struct(
-        w["n_words"].alias("n_words"), F.col("_q.word_chars").alias("word_chars"), F.col("_q.n_symbols").alias("n_symbols"), line["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"),
+    return first.select("row", F.struct(
+        w["n_words"].alias("n_words"), F.col("q.word_chars").alias("word_chars"), F.col("q.n_symbols").alias("n_symbols"), line["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"),
         failed.alias("base_failed"), line["lines"].alias("n_lines"), line["kept_lines"].alias("n_kept_lines"),
         (~failed & (line["kept_chars"] >= LEAST_KEPT * line["chars"])).alias("kept"), line["clean_text"].alias("clean_text"),
-    ))
+    ).alias("q"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and the figures of every row."""
     names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept n_lines n_kept_lines".split()
-    return judged(docs, text_col).select(f"`{id_col}`", *(F.col(f"_q.{x}") for x in names))
+    return judged(docs, text_col).select(F.col("row")[id_col].alias(id_col), *(F.col(f"q.{x}") for x in names))
 
 
 def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that are kept, their texts without the lines that failed; all columns stay, n_chars (if there is one) follows the text."""
     # exploding a list that is empty for rejected rows: a filter would work the rules out a second time
-    one = judged(docs, text_col).withColumn("_q", F.explode(F.filter(F.array("_q"), lambda q: q["kept"])))
-    kept = one.withColumn(text_col, F.col("_q.clean_text")).drop("_q")
-    return kept.withColumn("n_chars", F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+    one = judged(docs, text_col).select("row", F.explode(F.filter(F.array("q"), lambda q: q["kept"])).alias("q"))
+    new = {text_col: F.col("q.clean_text")}
+    if "n_chars" in docs.columns and text_col != "n_chars":
+        new["n_chars"] = F.length("q.clean_text").cast(docs.schema["n_chars"].dataType)
+    return one.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def _sql_line_rules(line: str) -> str:
