@@ -314,3 +314,43 @@ def test_pipeline_stages(spark):
     rows = c.run(spark, SF)
     assert {r[0] for r in rows.select("doc_id").distinct().collect()} == kept
     assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _id long, _position long, _kept string, _q string, _key long, row string, key long, node long, fp long, id long, text2 string, position long, q string, own long"
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns named as the stages name theirs."""
+    rnd = random.Random(8)
+    plain = lambda n: "\n".join(" ".join(f"{rnd.choice('bcdfgh')}{rnd.choice('aeiou')}{rnd.choice('lmnr')}{rnd.randrange(900)}" for _ in range(15)) + "." for _ in range(n))
+    texts = [plain(3) for _ in range(12)] + [plain(3000), "x" * 2_000_000, "", " \n ", None]
+    rows = [(i, t, "en" if i % 3 else None, f"s{i % 2}" if i % 5 else None, len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (100, texts[1], "en", "", None), (None, texts[2], None, None, None), (None, None, None, None, None), (7, plain(2), "en", "s1", 5)]
+    more = [None if i % 4 == 0 else 3 if kind.endswith("long") else "z" for i, kind in enumerate(CLASHING.split(", ")[5:])]
+    return spark.createDataFrame([(*r, *more) for r in rows], CLASHING), rows
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    """No stage crashes, loses a column or makes a row up; each keeps what it does not reject, as many times as it is there."""
+    import corpus_pipeline as c
+
+    docs, rows = odd_documents(spark)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {}
+    for name, stage in c.STAGES[:-1]:  # each on its own input
+        out = stage(spark, docs, str(tmp_path))
+        assert out.dtypes == docs.dtypes, name
+        found[name] = [tuple(r) for r in out.collect()]
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    all_ = sorted(tuple(r) for r in docs.collect() if r["doc_id"] is not None)
+    same = lambda got: sorted(r for r in got if r[0] is not None)
+    assert same(found["quality_classifier"]) == all_ and len(found["quality_classifier"]) == len(rows)  # without labels, nothing goes
+    assert same(found["source_mixing"]) == all_ and len(found["source_mixing"]) == len(rows)
+    ids = lambda name: sorted(str(r[0]) for r in found[name])
+    # rules: texts of fewer than ten words go; repeated rows stay
+    assert ids("quality_rules") == sorted(map(str, [0, 0, 0, *range(1, 13), 7, 100, None]))
+    # copies: one of the repeated rows, the smaller id of equal texts, an id before none; all texts without words are one
+    assert ids("near_dedup") == sorted(map(str, [*range(14), 14, 7]))
+    last = c.best_fit_packing(spark, docs, str(tmp_path)).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in last}) == len(last) and sum(r["piece"] == 0 for r in last) == len(rows)
+    assert c.best_fit_packing(spark, docs.limit(0), str(tmp_path)).count() == 0
