@@ -92,7 +92,7 @@ def convert_dates(df: DataFrame) -> tuple[DataFrame, dict]:
     details = {"date_columns_detected": [*found], "date_columns_converted": [c for c in found if c not in failed], "date_columns_nat_count": sum(missing.values())}
     if failed:
         out = df.withColumns({c: _parsed(df, c, f) for c, f in found.items() if c not in failed})
-        details |= {"date_columns_failed": [{"column": c, "reason": "Conversion produced only NaT values."} for c in failed], "date_columns_failed_count": len(failed)}
+        details |= {"date_columns_failed": [{"column": c, "reason": "no value reads as a date"} for c in failed], "date_columns_failed_count": len(failed)}
     return out, {"status": "Completed", "details": details}
 
 

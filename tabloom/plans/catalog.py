@@ -166,9 +166,12 @@ def identifier_columns_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("column", F.col("distinct").alias("unique_count"), F.round("distinct_ratio", 4).alias("unique_ratio"), "name_pattern", "near_unique")
 
 
-@query("""SELECT 'l_linenumber' AS "column", CAST(count(DISTINCT l_linenumber) AS BIGINT) AS "distinct" FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 'fixed', 1""")
+_LINEITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate fixed".split()
+
+
+@query("WITH t AS (SELECT *, 'x' AS fixed FROM lineitem) SELECT * FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS "distinct" FROM t""" for c in _LINEITEM) + """) WHERE "distinct" <= 1""")
 def constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").withColumn("fixed", F.lit("x"))
+    df = table(spark, sf_dir, "lineitem").withColumn("fixed", F.lit("x"))
     return profile.flagged(profile.profile(df)).where("is_constant").select("column", "distinct")
 
 
@@ -298,14 +301,16 @@ def best_model_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.best_of(rows, "Regression").select("model_name", "rmse")
 
 
+#: Trees of the registered model queries: fewer and less deep than `models.Options()` has by default, on all rows.
 SMALL = models.Options(trees=10, depth=6, forest_depth=5)
 
 
 def _suite_rows(df: DataFrame, target: str, task: str) -> DataFrame:
     prep = prepare.fit(df, target)
     rows = models.assembled(prepare.training_frame(df, prep), prep.features).select("features", "label")
-    made = models.train(rows, task, options=SMALL)
-    found = metrics.evaluate(made["trained_models"], rows, task)
+    train, test = prepare.split(rows, "label" if task != "Regression" else None, 0.2, 42)
+    made = models.train(train, task, options=SMALL)
+    found = metrics.evaluate(made["trained_models"], test, task)
     flat = [(r["model_name"], k, v) for r in found["results"] for k, v in r["metrics"].items()]
     return df.sparkSession.createDataFrame(flat, "model_name string, metric string, value double")
 

@@ -62,21 +62,21 @@ def load(model_id: str, folder: str | Path | None = None) -> dict:
 
     plain = str(model_id or "").strip()
     if not plain:
-        raise ValueError("A model id is required.")
+        raise ValueError("no model id given")
     if not SAFE_ID.match(plain):
-        raise ValueError("Invalid model id.")
+        raise ValueError("unsafe model id")
     root = Path(folder or DEFAULT).resolve()
     path = (root / plain).resolve()
     if not path.is_relative_to(root):
-        raise ValueError("Invalid model id.")
+        raise ValueError("unsafe model id")
     if not (path / "package.json").exists():
-        raise FileNotFoundError(f"Model package '{plain}' was not found.")
+        raise FileNotFoundError(f"Model package '{plain}' does not exist")
     made = json.loads((path / "package.json").read_text())
     if not isinstance(made, dict):
-        raise ValueError("The model package is not valid.")
+        raise ValueError("not a model package")
     module, _, name = made["model_class"].rpartition(".")
     if not module.startswith("pyspark.ml."):
-        raise ValueError("The model package is not valid.")
+        raise ValueError("not a model package")
     model = getattr(importlib.import_module(module), name).load(f"file://{path}/model")
     return made | {"model": model, "preparation": Preparation(**made["preparation"])}
 

@@ -149,7 +149,7 @@ def service(spark, tmp_path_factory):
 def test_train_predict_and_serve(spark, service, tmp_path):
     text = "feature_1,feature_2,feature_3,color,target\n" + "\n".join(f"{i % 7},{3 * i % 5},{i / 2},{'red' if i % 2 else 'blue'},{int(i % 2 == 0)}" for i in range(120))
     up = service.upload(csv(tmp_path, "binary.csv", text))
-    assert up["message"] == "Dataset uploaded successfully." and up["automl_recommendation"]["recommended_target"] == "target"
+    assert up["message"] == "stored" and up["automl_recommendation"]["recommended_target"] == "target"
     r = service.train({"filename": "binary.csv", "target_column": "target"})
     assert list(r) == ["status", "filename", "target_column", "problem_type", "data", "preprocessing", "models", "evaluation", "best_model", "model"]
     assert r["status"] == "success" and r["data"]["test_rows"] == 24 and "feature_3" in r["preprocessing"]["removed_columns"] and "encoders" not in r["preprocessing"]
