@@ -215,13 +215,16 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 def similar_links(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) between roots of which two texts have an exact Jaccard similarity of 0.8 or more, enough to connect all that have (and share a band).
 
-    Copies share a node. As in near_links, a bucket links its members to its smallest one first; what is linked to it, or
-    in its component before, needs no link to others of the kind.
+    Copies share a node. Each member of a bucket is held first against the bucket's centre: the member that meets the most
+    others over all its bands, which in a crowd of near copies is what they are copies of. What that connects needs no
+    further link, so only buckets that still hold several components are looked at again, across components alone.
     """
     nodes = prints.where("n > 0").groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands"))
-    keys = written(nodes.join(roots.select("fp", "root"), "fp").select("node", "n", "root", F.explode("bands").alias("v")), "bands")
-    stars = keys.groupBy("v").agg(F.min(F.struct("node", "root", "n")).alias("s"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    keys = written(keys.join(stars.select("v", "s"), "v"), "band-members")  # of buckets with several roots
+    keys = written(nodes.join(roots, "fp").select("node", "n", "root", F.explode("bands").alias("v")), "bands")
+    crowds = keys.groupBy("v").agg(F.count("*").alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("v", "many")
+    keys = written(keys.join(crowds, "v"), "band-members")  # of buckets with several roots
+    met = keys.groupBy("node").agg(F.sum("many").alias("met"))
+    stars = keys.join(met, "node").groupBy("v").agg(F.max(F.struct("met", "node", "root", "n")).alias("s"))
 
     wanted = keys.select("node").distinct()
     one = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col(f"`{id_col}`").alias("id"), "key")).alias("x")).select("node", "x.id", "x.key")
@@ -235,18 +238,26 @@ def similar_links(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col:
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-        return written(both.where(9 * F.col("common") >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b", "ra", "rb"), name)
+        return written(both.where(9 * F.col("common") >= 4 * (F.size("sa") + F.size("sb"))).select(F.col("ra").alias("a"), F.col("rb").alias("b")), name)
 
-    first = keys.where((F.col("root") != F.col("s.root")) & alike("n", "s.n")).select(F.col("s.node").alias("a"), F.col("node").alias("b"), F.col("s.root").alias("ra"), F.col("root").alias("rb")).distinct()
-    first = verified(first, "similar-to-first")
-    known = keys.join(first.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("s.node") == F.col("_a")) & (F.col("node") == F.col("_b")), "left")
-    known = known.select("v", "node", "n", "root", (F.col("s.node") == F.col("node")).alias("first"), (F.col("_a").isNotNull() | (F.col("root") == F.col("s.root"))).alias("linked"))
-    known = written(known, "band-links")
-    x = known.where("not linked").select("v", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "root")))
-    y = known.where("not first").select("v", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "root", "linked")))
-    rest = x.join(y, "v").where((F.col("x_root") != F.col("y_root")) & alike("x_n", "y_n") & (F.col("y_linked") | (F.col("x_node") < F.col("y_node"))))
-    rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.when(F.col("x_node") < F.col("y_node"), F.col("x_root")).otherwise(F.col("y_root")).alias("ra"), F.when(F.col("x_node") < F.col("y_node"), F.col("y_root")).otherwise(F.col("x_root")).alias("rb")).distinct()
-    return first.unionByName(verified(rest, "similar")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    keys = written(keys.join(stars, "v").select("v", "node", "n", "root", F.col("s.node").alias("star"), F.col("s.root").alias("star_root"), F.col("s.n").alias("star_n")), "band-stars")
+    first = keys.where((F.col("root") != F.col("star_root")) & alike("n", "star_n")).select(F.col("star").alias("a"), F.col("node").alias("b"), F.col("star_root").alias("ra"), F.col("root").alias("rb")).distinct()
+    first = verified(first, "similar-to-star")
+    tops = components(first)
+
+    def top_of(rows: DataFrame, root: str, name: str) -> DataFrame:
+        own = tops.select(F.col("node").alias("_of"), F.col("root").alias("_top"))
+        return rows.join(own, F.col(root) == F.col("_of"), "left").withColumn(name, F.coalesce("_top", root)).drop("_of", "_top")
+
+    left = top_of(keys, "root", "top")
+    mixed = left.groupBy("v").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("v")
+    left = written(top_of(left.join(mixed, "v"), "star_root", "star_top"), "band-rest")
+    x = left.where("top <> star_top").select("v", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "root", "top")))
+    y = left.where("node <> star").select("v", (F.col("top") == F.col("star_top")).alias("linked"), *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "root", "top")))
+    rest = x.join(y, "v").where((F.col("x_top") != F.col("y_top")) & alike("x_n", "y_n") & (F.col("linked") | (F.col("x_node") < F.col("y_node"))))
+    low = F.col("x_node") < F.col("y_node")
+    rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.when(low, F.col("x_root")).otherwise(F.col("y_root")).alias("ra"), F.when(low, F.col("y_root")).otherwise(F.col("x_root")).alias("rb")).distinct()
+    return first.unionByName(verified(rest, "similar"))
 
 
 def without_copies(docs: DataFrame, radius: int = 4, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +267,7 @@ def without_copies(docs: DataFrame, radius: int = 4, segments: int = 3, id_col:
     shingles of five words is 0.8 or more. Rows of equal or null ids are told apart by a hash of the whole row.
     """
     prints = written(prepared(docs, id_col, text_col), "fingerprints")
-    roots = written(rooted(prints, radius, segments, id_col), "roots")
+    roots = written(rooted(prints, radius, segments, id_col).select("fp", F.col("root.fp").alias("root")), "roots")
     above = components(similar_links(docs, prints, roots, id_col, text_col)).withColumnRenamed("root", "top")
     tops = roots.join(above, roots.root == above.node, "left").select("fp", F.coalesce("top", "root").alias("root"))
     own = F.col(f"`{id_col}`")
