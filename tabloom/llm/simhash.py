@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import as_schema, checkpointed, rows_of, written
@@ -200,14 +200,26 @@ def row_key(docs: DataFrame):
     return F.xxhash64(*own, *(c.isNull() for c in own))
 
 
+#: Longs of a bitmap of shingles.
+BITMAP = 32
+
+
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """BITMAP longs with the bits set that shingles fall on. Two sets differ in at least as many shingles as their bitmaps in bits."""
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[(found % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """node and its shingles, from rows (node, text)."""
-    ddl = "node bigint, shingles array<bigint>"
+    """node, its shingles and their bitmap, from rows (node, text)."""
+    ddl = "node bigint, shingles array<bigint>, bits array<bigint>"
     schema = as_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x).view(np.int64) for x in batch.column(1).to_pylist()], schema.field(1).type)], schema=schema)
+            found = [shingles(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in found], schema.field(1).type), pa.array([bitmap(x) for x in found], schema.field(2).type)], schema=schema)
 
     return texts.mapInArrow(run, ddl)
 
@@ -217,7 +229,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col:
 
     Copies share a node. Each member of a bucket is held first against the bucket's centre: the member that meets the most
     others over all its bands, which in a crowd of near copies is what they are copies of. What that connects needs no
-    further link, so only buckets that still hold several components are looked at again, across components alone.
+    further link, so only buckets that still hold several components are looked at again, across components alone. There
+    the join itself drops pairs whose bitmaps differ in over a ninth of both sizes: a similarity of 0.8 leaves room for no
+    more different shingles, so no link is lost, and hardly any pair that is not alike has its shingles fetched.
     """
     nodes = prints.where("n > 0").groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands"))
     keys = written(nodes.join(roots, "fp").select("node", "n", "root", F.explode("bands").alias("v")), "bands")
@@ -251,10 +265,19 @@ def similar_links(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col:
 
     left = top_of(keys, "root", "top")
     mixed = left.groupBy("v").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("v")
-    left = written(top_of(left.join(mixed, "v"), "star_root", "star_top"), "band-rest")
-    x = left.where("top <> star_top").select("v", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "root", "top")))
-    y = left.where("node <> star").select("v", (F.col("top") == F.col("star_top")).alias("linked"), *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "root", "top")))
-    rest = x.join(y, "v").where((F.col("x_top") != F.col("y_top")) & alike("x_n", "y_n") & (F.col("linked") | (F.col("x_node") < F.col("y_node"))))
+    left = top_of(left.join(mixed, "v"), "star_root", "star_top").join(sets.select("node", "bits"), "node")
+    left = written(left, "band-rest")
+
+    def side(rows: DataFrame, name: str, *more: Column) -> DataFrame:
+        # the bitmap as columns without nulls: the join's generated code stays small enough to be compiled
+        bits = (F.coalesce(F.col("bits")[i], F.lit(0).cast("bigint")).alias(f"{name}_{i}") for i in range(BITMAP))
+        return rows.select("v", *more, *(F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "root", "top")), *bits)
+
+    x = side(left.where("top <> star_top"), "x")
+    y = side(left.where("node <> star"), "y", (F.col("top") == F.col("star_top")).alias("linked"))
+    differ = sum((F.bit_count(F.col(f"x_{i}").bitwiseXOR(F.col(f"y_{i}"))) for i in range(BITMAP)), F.lit(0))
+    may_be = alike("x_n", "y_n") & (9 * differ <= F.col("x_n") + F.col("y_n"))
+    rest = x.join(y, "v").where((F.col("x_top") != F.col("y_top")) & (F.col("linked") | (F.col("x_node") < F.col("y_node"))) & may_be)
     low = F.col("x_node") < F.col("y_node")
     rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.when(low, F.col("x_root")).otherwise(F.col("y_root")).alias("ra"), F.when(low, F.col("y_root")).otherwise(F.col("x_root")).alias("rb")).distinct()
     return first.unionByName(verified(rest, "similar"))

@@ -90,6 +90,45 @@ def test_stage_links_similarity_of_0_8(spark):
     assert sorted(r["doc_id"] for r in simhash.without_copies(df).collect()) == [i for i in range(len(texts)) if i not in above]
 
 
+def test_bitmaps_differ_in_no_more_than_the_sets():
+    rnd = np.random.default_rng(3)
+    for n in (1, 5, 200, 3000):
+        for share in (0.0, 0.1, 0.5, 1.0):
+            x = np.unique(rnd.integers(0, 1 << 64, n, np.uint64))
+            y = np.unique(np.concatenate([x[int(share * len(x)) :], rnd.integers(0, 1 << 64, int(share * n), np.uint64)]))
+            bits = (simhash.bitmap(x) ^ simhash.bitmap(y)).view(np.uint64)
+            assert sum(int(b).bit_count() for b in bits) <= len(np.setxor1d(x, y))
+
+
+def test_stage_on_a_crowd_just_below_0_8_equals_brute_force(spark):
+    rnd = random.Random(17)
+    base = [f"w{rnd.randrange(9000)}" for _ in range(200)]
+    texts = []
+    for n in range(120):  # four to seven edits of few places, so that copies are alike to some others and not to the base
+        words = list(base)
+        for at in rnd.sample(range(0, 200, 14), rnd.choice((4, 5, 6, 7))):
+            words[at] = f"v{at}" if rnd.random() < 0.8 else f"v{n}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base), " ".join(base), " ".join(base[:3]), " ".join(base[:3])]
+    up = list(range(len(texts)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    prints = [simhash.fingerprint(t) for t in texts]
+    for j in range(len(texts)):
+        for i in range(j):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 or similarity(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    want = [i for i in range(len(texts)) if top(i) == i]
+    assert 3 <= len(want) < 60 and sum(similarity(t, texts[120]) < 0.8 for t in texts[:120]) > 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.without_copies(df).collect()) == want
+
+
 def test_stage_keeps_unrelated_rows_of_one_id(spark):
     words = lambda seed: " ".join(f"w{random.Random(seed * 1000 + i).randrange(10**6)}" for i in range(60))
     texts = [words(k) for k in range(8)]
