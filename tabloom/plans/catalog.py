@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import names
 from tabloom.operators import clean, dates, detect, metrics, models, prepare, profile
-from tabloom.plans import automl
+from tabloom.plans import automl, service
 from tabloom.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,3 +335,117 @@ def train_save_predict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         package = store.load(found["model"]["model_id"], folder)
         # the model is in memory now
         return automl.score(df.drop("c_mktsegment"), package).select("c_nationkey", "c_acctbal", "prediction", "predicted_label")
+
+
+# Reports as rows. Their SQL states the rules by itself, without this package's constants.
+@query(f"""SELECT CAST(2 * count(*) - count(l_quantity) - count(l_returnflag) + count(*) AS BIGINT) AS missing_before, CAST(count(*) AS BIGINT) AS missing_after,
+    CAST(2 * count(*) - count(l_quantity) - count(l_returnflag) AS BIGINT) AS missing_values_filled FROM {_GAPS}""")
+def missing_report_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What imputation fills; a column without any value stays as it is."""
+    d = clean.handle_missing(_gaps(spark, sf_dir).withColumn("blank", F.lit(None).cast("string")))[1]["details"]
+    return spark.createDataFrame([(d["missing_before"], d["missing_after"], d["missing_values_filled"])], "missing_before long, missing_after long, missing_values_filled long")
+
+
+@query(f"""WITH f AS (SELECT avg(CASE WHEN try_strptime(d, '%m/%d/%Y') IS NOT NULL THEN 1.0 ELSE 0.0 END) AS read FROM (SELECT * FROM {_DATED} ORDER BY o_orderkey LIMIT 100)),
+p AS (SELECT avg(CASE WHEN try_cast(o_orderpriority AS DATE) IS NOT NULL THEN 1.0 ELSE 0.0 END) AS read FROM orders)
+SELECT 'd' AS "column" FROM f WHERE read >= 0.8 UNION ALL SELECT 'o_orderpriority' FROM p WHERE read >= 0.8
+UNION ALL SELECT column_name FROM (DESCRIBE orders) WHERE column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE'""")
+def date_columns_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that are dates or text that reads as dates."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    found = dates.date_columns(_dated(spark, sf_dir).join(orders, "o_orderkey").orderBy("o_orderkey"))
+    return spark.createDataFrame([(c,) for c in found], "column string")
+
+
+@query("""SELECT 'Delivery Time (Days)' AS generated_column, CAST(count(*) FILTER (WHERE l_shipdate - INTERVAL 30 DAY < o_orderdate) AS BIGINT) AS negative_delivery_days
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def negative_delivery_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    d = dates.delivery_time(joined.select(F.col("o_orderdate").alias("Order Date"), (F.col("l_shipdate") - F.expr("INTERVAL 30 DAY")).alias("Ship Date")))[1]["details"]
+    return spark.createDataFrame([(d["generated_column"], d["negative_delivery_days"])], "generated_column string, negative_delivery_days long")
+
+
+@query(f"""WITH a AS (SELECT 'o_orderpriority' AS target, o_orderpriority AS value, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderpriority
+UNION ALL SELECT 'l_returnflag', l_returnflag, count(*) FROM {_GAPS} GROUP BY l_returnflag
+UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY l_linestatus),
+s AS (SELECT target, CAST(count(value) AS BIGINT) AS unique_values, CAST(coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS BIGINT) AS missing FROM a GROUP BY target)
+SELECT target, unique_values, missing, CASE WHEN missing > 0 THEN 'unknown' ELSE 'classification' END AS problem_type, value, n FROM a JOIN s USING (target)""")
+def target_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses of three text targets, one of them with gaps: a row for each value."""
+    rows = []
+    for df, c in ((table(spark, sf_dir, "orders"), "o_orderpriority"), (_gaps(spark, sf_dir), "l_returnflag"), (_gaps(spark, sf_dir), "l_linestatus")):
+        r = profile.analyze_target(df, c)
+        rows += [(c, r["unique_value_count"], r["missing_values"], r["problem_type"], v, n) for v, n in r["distribution"].items()]
+    return spark.createDataFrame(rows, "target string, unique_values long, missing long, problem_type string, value string, n long")
+
+
+_KIND_COUNTS = " UNION ALL ".join(f"""SELECT '{t}' AS "table", (SELECT CAST(count(*) AS BIGINT) FROM {t}) AS rows, CAST(count(*) AS BIGINT) AS columns, CAST(0 AS BIGINT) AS missing,
+    CAST(count(*) FILTER (WHERE column_type IN ('INTEGER', 'BIGINT', 'DOUBLE', 'FLOAT')) AS BIGINT) AS numeric, CAST(count(*) FILTER (WHERE column_type = 'VARCHAR') AS BIGINT) AS categorical,
+    CAST(count(*) FILTER (WHERE column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE') AS BIGINT) AS datetime FROM (DESCRIBE {t})""" for t in ("orders", "part", "customer"))
+
+
+@query(_KIND_COUNTS)
+def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary and feature analysis of three tables."""
+    rows = []
+    for t in ("orders", "part", "customer"):
+        p = profile.Profile(table(spark, sf_dir, t))
+        s, f = profile.summarize(p), profile.analyze_features(p)
+        rows.append((t, s["rows"], s["columns"], s["missing_values"], f["numeric_column_count"], f["categorical_column_count"], s["datetime_column_count"]))
+    return spark.createDataFrame(rows, "table string, rows long, columns long, missing long, numeric long, categorical long, datetime long")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM part), c AS (SELECT 'p_partkey' AS "column", count(DISTINCT p_partkey) AS d FROM part
+    UNION ALL SELECT 'row_id', count(DISTINCT p_partkey) FROM part WHERE p_partkey % 100 <> 0)
+SELECT "column", CAST(d AS BIGINT) AS unique_count, round(d / n, 4) AS unique_ratio, round((n - d) / n, 4) AS null_ratio FROM c, n WHERE d >= 10 OR d >= 0.8 * n""")
+def identifier_report_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of part with a second key that has gaps."""
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.when(F.col("p_partkey") % 100 != 0, F.col("p_partkey")).alias("row_id"))
+    found = profile.identifier_report(df)["details"]
+    return spark.createDataFrame([(c, d["unique_count"], d["unique_ratio"], d["null_ratio"]) for c, d in found.items()], "column string, unique_count long, unique_ratio double, null_ratio double")
+
+
+@query("""WITH e AS (SELECT event_type, user_id % 2 AS sample_weight, event_id % 2 AS label FROM events),
+c AS (SELECT 0 AS ordinal, 'event_type' AS col, FALSE AS num, FALSE AS weight, 0 AS s, count(DISTINCT event_type) AS d, count(*) AS n FROM e
+    UNION ALL SELECT 1, 'sample_weight', TRUE, TRUE, 0, count(DISTINCT sample_weight), count(*) FROM e UNION ALL SELECT 2, 'label', TRUE, FALSE, 4, count(DISTINCT label), count(*) FROM e),
+p AS (SELECT *, CASE WHEN weight THEN -5.0 ELSE 0 END + CASE WHEN s > 0 THEN 0.75 + 0.75 * least(s, 2) ELSE 0 END + 1.0
+    + CASE WHEN num THEN 1.5 + CASE WHEN d = 2 THEN 6.0 ELSE 2.0 END + 2.0 * d / n
+      ELSE 1.0 + CASE WHEN d <= 2 THEN 3.5 WHEN d <= 20 THEN 2.5 - 2.5 ELSE -2.5 END - 2.5 + CASE WHEN d > 10 THEN -1.5 ELSE 0 END + 1.5 * d / n + CASE WHEN d <= 20 THEN 0.75 ELSE 0 END END AS raw,
+    concat_ws('|', CASE WHEN weight THEN 'weight_like_metadata' END, CASE WHEN s > 0 THEN 'target_like_name' END, CASE WHEN num THEN 'numeric_dtype' END, CASE WHEN num AND d = 2 THEN 'binary_numeric_target_like' END,
+      CASE WHEN num AND d <> 2 THEN 'low_cardinality_numeric' END, CASE WHEN NOT num THEN 'categorical_dtype' END, CASE WHEN NOT num AND d <= 2 THEN 'binary_categorical_target_like' END, CASE WHEN NOT num AND d > 2 AND d <= 20 THEN 'multi_class_target_like' END,
+      CASE WHEN NOT num AND d > 2 THEN 'ordinary_multiclass_feature_penalty' END, CASE WHEN NOT num THEN 'generic_feature_penalty' END, CASE WHEN NOT num AND d > 10 THEN 'high_cardinality_feature_penalty' END,
+      CASE WHEN NOT num AND d <= 20 THEN 'plausible_class_target' END, 'complete_column') AS reasons FROM c WHERE d > 1),
+r AS (SELECT *, row_number() OVER (ORDER BY raw DESC, ordinal) AS place FROM p WHERE raw > 0),
+t AS (SELECT max(raw) FILTER (WHERE place = 1) - max(raw) FILTER (WHERE place = 2) < 2.0 OR 0.4 + max(raw) / 10 < 0.7 AS unsure FROM r)
+SELECT CAST(place AS INTEGER) AS rank, col AS "column", round(raw, 4) AS score, reasons, coalesce(unsure, FALSE) AS requires_user_confirmation FROM r, t""")
+def target_reasons_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked targets with their reasons, a weight column among them, and whether to ask."""
+    df = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 2).alias("sample_weight"), (F.col("event_id") % 2).alias("label"))
+    r = detect.target_candidates(df)
+    rows = [(k, x["column"], x["score"], "|".join(x["reasons"]), r["requires_user_confirmation"]) for k, x in enumerate(r["target_candidates"], 1)]
+    return spark.createDataFrame(rows, "rank int, column string, score double, reasons string, requires_user_confirmation boolean")
+
+
+@query(f"""WITH g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS p FROM orders),
+m AS (SELECT p FROM g WHERE p IS NOT NULL GROUP BY p ORDER BY count(*) DESC, p LIMIT 1),
+t AS (SELECT o_orderkey, coalesce(p, (SELECT p FROM m)) AS p, CAST(try_strptime(d, '%m/%d/%Y') AS TIMESTAMP) AS d FROM g JOIN {_DATED} USING (o_orderkey))
+SELECT *, CAST(year(d) AS INTEGER) AS "d Year", CAST(month(d) AS INTEGER) AS "d Month", CAST(day(d) AS INTEGER) AS "d Day", CAST(isodow(d) - 1 AS INTEGER) AS "d Weekday" FROM t""")
+def cleaning_chain_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: repeated rows, markers, gaps and text dates."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, " N/A ").otherwise(F.col("o_orderpriority")).alias("p")).join(_dated(spark, sf_dir), "o_orderkey")
+    return service.preprocess(rows.unionByName(rows.where(F.col("o_orderkey") % 10 == 0)))[0]
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS q, CASE WHEN l_orderkey % 11 <> 0 THEN l_extendedprice END AS y FROM lineitem),
+m AS (SELECT avg(q) AS fill FROM t WHERE y IS NOT NULL), f AS (SELECT l_orderkey, l_linenumber, coalesce(q, fill) AS q, y FROM t, m),
+w AS (SELECT regr_slope(y, q) AS a, regr_intercept(y, q) AS b FROM f)
+SELECT l_orderkey, l_linenumber, round(a * q + b, 3) AS prediction FROM f, w""")
+def linear_predictions_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a target are left out of training, gaps filled by training's mean, and every row is predicted."""
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("q"), F.when(F.col("l_orderkey") % 11 != 0, F.col("l_extendedprice")).alias("y"))
+    known = df.select("q", "y")
+    prep = prepare.fit(known, "y")
+    rows = models.assembled(prepare.training_frame(known, prep), prep.features)
+    fit = models.suite("Regression", 1)[0][1].fit(rows.select("features", "label"))
+    out = automl.score(df.drop("y"), {"preparation": prep, "model": fit})
+    return out.select("l_orderkey", "l_linenumber", F.round("prediction", 3).alias("prediction"))
