@@ -200,8 +200,8 @@ def row_key(docs: DataFrame):
     return F.xxhash64(*own, *(c.isNull() for c in own))
 
 
-#: Longs of a bitmap of shingles.
-BITMAP = 32
+#: Longs of a bitmap of shingles, and members of a bucket that one task holds against the others.
+BITMAP, BLOCK = 32, 128
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
@@ -273,11 +273,14 @@ def similar_links(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col:
         bits = (F.coalesce(F.col("bits")[i], F.lit(0).cast("bigint")).alias(f"{name}_{i}") for i in range(BITMAP))
         return rows.select("v", *more, *(F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "root", "top")), *bits)
 
-    x = side(left.where("top <> star_top"), "x")
-    y = side(left.where("node <> star"), "y", (F.col("top") == F.col("star_top")).alias("linked"))
+    # a crowded bucket is dealt in blocks of about BLOCK members, each held against all others
+    sizes = left.where("top <> star_top").groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    left = left.join(sizes, "v")
+    x = side(left.where("top <> star_top"), "x", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    y = side(left.where("node <> star"), "y", (F.col("top") == F.col("star_top")).alias("linked"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     differ = sum((F.bit_count(F.col(f"x_{i}").bitwiseXOR(F.col(f"y_{i}"))) for i in range(BITMAP)), F.lit(0))
     may_be = alike("x_n", "y_n") & (9 * differ <= F.col("x_n") + F.col("y_n"))
-    rest = x.join(y, "v").where((F.col("x_top") != F.col("y_top")) & (F.col("linked") | (F.col("x_node") < F.col("y_node"))) & may_be)
+    rest = x.join(y, ["v", "block"]).where((F.col("x_top") != F.col("y_top")) & (F.col("linked") | (F.col("x_node") < F.col("y_node"))) & may_be)
     low = F.col("x_node") < F.col("y_node")
     rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.when(low, F.col("x_root")).otherwise(F.col("y_root")).alias("ra"), F.when(low, F.col("y_root")).otherwise(F.col("x_root")).alias("rb")).distinct()
     return first.unionByName(verified(rest, "similar"))
