@@ -52,6 +52,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a side of an equi-join that is to shuffle both, whatever Spark thinks of its size.
+
+    Spark goes by the size of the files, not of the rows that explode makes of them, and builds what it broadcasts on the driver.
+    """
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

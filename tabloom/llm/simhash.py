@@ -7,7 +7,8 @@ Hamming ball around each of its segment values in a table of all segment values,
 is verified inside the join. Copies share one fingerprint and so one table row. In a table bucket, links
 between two fingerprints that both lie within the radius of the bucket's smallest one are implied by
 their links to it and are not made: a crowded bucket gives a star, not all pairs. Components come from
-alternating large and small stars, checkpointed, on the cluster.
+alternating large and small stars, checkpointed, on the cluster. Every table here grows with the documents,
+so no join may broadcast one.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; equal rows
 each get a row; a null id is never a component id unless all ids of the component are null; an empty
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import as_schema, checkpointed, rows_of, written
+from tabloom.llm.common import as_schema, checkpointed, dealt, rows_of, written
 
 #: Shingles whose bits are counted at a time.
 _STEP = 1 << 15
@@ -100,7 +101,7 @@ def near_links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     stars = keys.groupBy("k", "v").agg(F.min("fp").alias("star"))
     probes = fps.select(F.col("fp").alias("a"), F.col("node").alias("own"), F.inline(near))
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    p, t = probes.alias("p"), keys.join(stars, ["k", "v"]).alias("t")
+    p, t = probes.alias("p"), dealt(keys.join(dealt(stars), ["k", "v"])).alias("t")
     on = (F.col("p.k") == F.col("t.k")) & (F.col("p.v") == F.col("t.v")) & (F.col("a") != F.col("fp")) & (apart("a", "fp") <= radius) & ((F.col("fp") == F.col("star")) | (apart("a", "star") > radius) | (apart("fp", "star") > radius))
     return p.join(t, on).select(F.col("own").alias("a"), F.col("node").alias("b"))
 
@@ -117,10 +118,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: all larger neighbours to the smallest of the neighbourhood
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(dealt(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         # small star: a node and its smaller neighbours to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        small = large.join(dealt(low), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         edges = checkpointed(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
@@ -138,7 +139,7 @@ def rooted(prints: DataFrame, radius: int = 4, segments: int = 3, id_col: str =
     fps = written(prints.groupBy("fp").agg(least.alias("least")).select("fp", F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("fp")).alias("node")), "fps")
     roots = components(near_links(fps, radius, segments)).select(F.col("node.fp").alias("of"), "root")
     # a root is a node of its component but not of `roots`
-    return fps.join(roots, fps.fp == roots.of, "left").select("fp", F.coalesce("root", "node").alias("root"))
+    return fps.join(dealt(roots), fps.fp == roots.of, "left").select("fp", F.coalesce("root", "node").alias("root"))
 
 
 def grouped(prints: DataFrame, radius: int = 4, segments: int = 3, id_col: str = "doc_id") -> DataFrame:
@@ -234,38 +235,38 @@ def similar_links(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col:
     more different shingles, so no link is lost, and hardly any pair that is not alike has its shingles fetched.
     """
     nodes = prints.where("n > 0").groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands"))
-    keys = written(nodes.join(roots, "fp").select("node", "n", "root", F.explode("bands").alias("v")), "bands")
+    keys = written(nodes.join(dealt(roots), "fp").select("node", "n", "root", F.explode("bands").alias("v")), "bands")
     crowds = keys.groupBy("v").agg(F.count("*").alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("v", "many")
-    keys = written(keys.join(crowds, "v"), "band-members")  # of buckets with several roots
+    keys = written(keys.join(dealt(crowds), "v"), "band-members")  # of buckets with several roots
     met = keys.groupBy("node").agg(F.sum("many").alias("met"))
-    stars = keys.join(met, "node").groupBy("v").agg(F.max(F.struct("met", "node", "root", "n")).alias("s"))
+    stars = keys.join(dealt(met), "node").groupBy("v").agg(F.max(F.struct("met", "node", "root", "n")).alias("s"))
 
     wanted = keys.select("node").distinct()
-    one = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col(f"`{id_col}`").alias("id"), "key")).alias("x")).select("node", "x.id", "x.key")
+    one = prints.join(dealt(wanted), "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col(f"`{id_col}`").alias("id"), "key")).alias("x")).select("node", "x.id", "x.key")
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), row_key(docs).alias("_key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    found = texts.join(one, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")))
+    found = texts.join(dealt(one), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")))
     sets = written(shingle_sets(found.select("node", "text")).dropDuplicates(["node"]), "shingles")
 
     def alike(x: str, y: str):
         return (5 * F.col(x) >= 4 * F.col(y)) & (5 * F.col(y) >= 4 * F.col(x))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = pairs.join(dealt(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))), "a").join(dealt(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))), "b")
         both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
         return written(both.where(9 * F.col("common") >= 4 * (F.size("sa") + F.size("sb"))).select(F.col("ra").alias("a"), F.col("rb").alias("b")), name)
 
-    keys = written(keys.join(stars, "v").select("v", "node", "n", "root", F.col("s.node").alias("star"), F.col("s.root").alias("star_root"), F.col("s.n").alias("star_n")), "band-stars")
+    keys = written(keys.join(dealt(stars), "v").select("v", "node", "n", "root", F.col("s.node").alias("star"), F.col("s.root").alias("star_root"), F.col("s.n").alias("star_n")), "band-stars")
     first = keys.where((F.col("root") != F.col("star_root")) & alike("n", "star_n")).select(F.col("star").alias("a"), F.col("node").alias("b"), F.col("star_root").alias("ra"), F.col("root").alias("rb")).distinct()
     first = verified(first, "similar-to-star")
     tops = components(first)
 
     def top_of(rows: DataFrame, root: str, name: str) -> DataFrame:
         own = tops.select(F.col("node").alias("_of"), F.col("root").alias("_top"))
-        return rows.join(own, F.col(root) == F.col("_of"), "left").withColumn(name, F.coalesce("_top", root)).drop("_of", "_top")
+        return rows.join(dealt(own), F.col(root) == F.col("_of"), "left").withColumn(name, F.coalesce("_top", root)).drop("_of", "_top")
 
     left = top_of(keys, "root", "top")
     mixed = left.groupBy("v").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("v")
-    left = top_of(left.join(mixed, "v"), "star_root", "star_top").join(sets.select("node", "bits"), "node")
+    left = top_of(left.join(dealt(mixed), "v"), "star_root", "star_top").join(dealt(sets.select("node", "bits")), "node")
     left = written(left, "band-rest")
 
     def side(rows: DataFrame, name: str, *more: Column) -> DataFrame:
@@ -275,12 +276,12 @@ def similar_links(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col:
 
     # a crowded bucket is dealt in blocks of about BLOCK members, each held against all others
     sizes = left.where("top <> star_top").groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    left = left.join(sizes, "v")
+    left = left.join(dealt(sizes), "v")
     x = side(left.where("top <> star_top"), "x", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     y = side(left.where("node <> star"), "y", (F.col("top") == F.col("star_top")).alias("linked"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     differ = sum((F.bit_count(F.col(f"x_{i}").bitwiseXOR(F.col(f"y_{i}"))) for i in range(BITMAP)), F.lit(0))
     may_be = alike("x_n", "y_n") & (9 * differ <= F.col("x_n") + F.col("y_n"))
-    rest = x.join(y, ["v", "block"]).where((F.col("x_top") != F.col("y_top")) & (F.col("linked") | (F.col("x_node") < F.col("y_node"))) & may_be)
+    rest = x.join(dealt(y), ["v", "block"]).where((F.col("x_top") != F.col("y_top")) & (F.col("linked") | (F.col("x_node") < F.col("y_node"))) & may_be)
     low = F.col("x_node") < F.col("y_node")
     rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.when(low, F.col("x_root")).otherwise(F.col("y_root")).alias("ra"), F.when(low, F.col("y_root")).otherwise(F.col("x_root")).alias("rb")).distinct()
     return first.unionByName(verified(rest, "similar"))
@@ -295,11 +296,11 @@ def without_copies(docs: DataFrame, radius: int = 4, segments: int = 3, id_col:
     prints = written(prepared(docs, id_col, text_col), "fingerprints")
     roots = written(rooted(prints, radius, segments, id_col).select("fp", F.col("root.fp").alias("root")), "roots")
     above = components(similar_links(docs, prints, roots, id_col, text_col)).withColumnRenamed("root", "top")
-    tops = roots.join(above, roots.root == above.node, "left").select("fp", F.coalesce("top", "root").alias("root"))
+    tops = roots.join(dealt(above), roots.root == above.node, "left").select("fp", F.coalesce("top", "root").alias("root"))
     own = F.col(f"`{id_col}`")
-    best = prints.join(tops, "fp").groupBy("root").agg(F.min(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("key"))).alias("x"))
+    best = prints.join(dealt(tops), "fp").groupBy("root").agg(F.min(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("key"))).alias("x"))
     kept = written(best.select(F.col("x.id").alias("id"), F.col("x.key").alias("key")), "kept")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("own"), row_key(docs).alias("hash"))
-    out = rows.join(kept, F.col("own").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("key")), "left_semi")
+    out = rows.join(dealt(kept), F.col("own").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("key")), "left_semi")
     repeated = prints.groupBy(own, "key").count().where("count > 1").limit(1).count()
     return (out.dropDuplicates(["own", "hash"]) if repeated else out).select("row.*")

@@ -129,6 +129,28 @@ def test_stage_on_a_crowd_just_below_0_8_equals_brute_force(spark):
     assert sorted(r["doc_id"] for r in simhash.without_copies(df).collect()) == want
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Spark's own limit for broadcasts, and any that is made fails."""
+    own = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.maxBroadcastTableSize": "1b"}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k in own:
+        spark.conf.unset(k)
+
+
+def near_texts(n=40):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(n)]
+    return [(i, x) for i, x in enumerate(y for x in texts for y in (x, x, x.rsplit(" ", 2)[0]))]
+
+
+def test_stage_broadcasts_nothing(spark, no_broadcast):
+    df = spark.createDataFrame(near_texts(), "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in simhash.without_copies(df).collect()) == list(range(0, 120, 3))
+
+
 def test_stage_keeps_unrelated_rows_of_one_id(spark):
     words = lambda seed: " ".join(f"w{random.Random(seed * 1000 + i).randrange(10**6)}" for i in range(60))
     texts = [words(k) for k in range(8)]
