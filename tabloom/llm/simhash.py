@@ -144,7 +144,7 @@ def rooted(prints: DataFrame, radius: int = 4, segments: int = 3, id_col: str =
 
 def grouped(prints: DataFrame, radius: int = 4, segments: int = 3, id_col: str = "doc_id") -> DataFrame:
     """prints (id, fp) with component_id. `prints` is read several times: pass a written table."""
-    return prints.join(rooted(prints, radius, segments, id_col).select("fp", F.col("root.id").alias("component_id")), "fp")
+    return prints.join(dealt(rooted(prints, radius, segments, id_col).select("fp", F.col("root.id").alias("component_id"))), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: int = 4, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -151,6 +151,16 @@ def test_stage_broadcasts_nothing(spark, no_broadcast):
     assert sorted(r["doc_id"] for r in simhash.without_copies(df).collect()) == list(range(0, 120, 3))
 
 
+def test_components_broadcast_nothing(spark, no_broadcast):
+    df = spark.createDataFrame(near_texts(), "doc_id bigint, text string")
+    rows = simhash.near_duplicates(df).collect()
+    values = brute_components(int(r["fingerprint"], 16) for r in rows)
+    least = {}
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        least.setdefault(values[int(r["fingerprint"], 16)], r["doc_id"])
+    assert all(r["component_id"] == least[values[int(r["fingerprint"], 16)]] for r in rows) and len(rows) == 120
+
+
 def test_stage_keeps_unrelated_rows_of_one_id(spark):
     words = lambda seed: " ".join(f"w{random.Random(seed * 1000 + i).randrange(10**6)}" for i in range(60))
     texts = [words(k) for k in range(8)]
