@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import tempfile
@@ -73,6 +74,13 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[
                 yield batch.slice(at, step)
 
 
+def give_back() -> None:
+    """What a Python worker has freed goes back to the system at the end of a task; else it is held while later stages run."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc
+        trim(0)
+
+
 def as_schema(ddl: str) -> pa.Schema:
     """Arrow's schema for a DDL string, as mapInArrow wants its batches; the executors get the code that makes them."""
     from pyspark.sql.pandas.types import to_arrow_schema

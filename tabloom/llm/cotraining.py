@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import as_schema, rows_of, written
+from tabloom.llm.common import as_schema, give_back, rows_of, written
+from tabloom.session import ship
 
 #: Bound of the labelled sample (rows), rounds, and how sure a pseudo-label must be.
 LABELLED, ROUNDS, SURE = 8000, 3, 0.995
@@ -312,15 +313,18 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns; each row is scored where it lies."""
+    """The rows of docs that are not rejected, with all their columns; each row is scored where it lies.
+
+    Only what the views look at goes to Python, once, and one boolean for each row comes back: the rows stay in the JVM.
+    """
     model = fit(docs, labels, id_col, text_col, **options)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    full = docs.select(*_inputs(docs, text_col), row)
-    schema = docs.select(row).schema
+    inputs = _inputs(docs, text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches):
-            keep = model.scores(*_views(batch, 0))[2] >= threshold
-            yield pa.RecordBatch.from_arrays([batch.column(4)], ["row"]).filter(pa.array(keep))
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            batch = pa.RecordBatch.from_arrays([*columns], [str(k) for k in range(4)])
+            yield pa.array(np.concatenate([np.zeros(0, bool), *(model.scores(*_views(x, 0))[2] >= threshold for x in rows_of([batch]))]))
+        give_back()
 
-    return full.mapInArrow(run, schema).select("row.*")
+    ship(docs.sparkSession)
+    return docs.where(F.arrow_udf(run, "boolean")(*inputs))

@@ -115,11 +115,15 @@ class PieceEncoder:
         self.cutter = Cutter(self.drops_white, special)
         self.merges = self.library.model
         self.bytes = {b: c for b, c in enumerate(byte_characters())}
+        self.forget()
+        self._behind = np.zeros(256, np.int64)
+        self._behind[[*_BEHIND.encode()]] = np.arange(len(_BEHIND))
+
+    def forget(self) -> None:
+        """Empties the stores, which hold some hundred MB when full, for as long as the worker lives."""
         self.words: Kept[bytes] = Kept()
         self.others: Kept[bytes] = Kept(KEPT // 4)
         self.tails: Kept[bytes] = Kept(KEPT // 4)
-        self._behind = np.zeros(256, np.int64)
-        self._behind[[*_BEHIND.encode()]] = np.arange(len(_BEHIND))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self._code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]

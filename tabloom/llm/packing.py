@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import as_schema, rows_of, spread, with_before, written
+from tabloom.llm.common import as_schema, give_back, rows_of, spread, with_before, written
 from tabloom.llm.encoding import SLICE, encoder
 
 #: Rows of one length that are ranked together.
@@ -64,6 +64,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048,
                     length.append(to - at)
                     crc.append(crc_of(ids[at * width : to * width], encode.dtype))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], schema=schema)
+        # the worker outlives this stage, and its store would stand beside what others need
+        encode.forget()
+        give_back()
 
     return docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).mapInArrow(run, ddl)
 

@@ -1,9 +1,11 @@
 """Operators over whole tables: near-duplicates, mixing, templates, classifier, pipeline."""
 
 import random
+import shutil
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,6 +325,35 @@ def test_classifier_edge_cases(spark):
     assert cotraining.classified(docs, one).count() == 5 and cotraining.classified(docs.limit(0), one).count() == 0
 
 
+def test_accepted_rows_stay_out_of_python(spark):
+    """Kept rows equal those of score, whatever their ids and columns; nothing but a boolean comes back from Python."""
+    docs, labels = (spark.read.parquet(f"{SF}/../sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    docs = docs.union(docs.where("doc_id < 100")).selectExpr("if(doc_id % 50 = 0, null, doc_id) doc_id", "if(doc_id % 70 = 0, null, text) text", "lang", "source", "n_chars", "array(doc_id) `_id.x`")
+    got = cotraining.accepted(docs, labels)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    scores = cotraining.score(docs, cotraining.fit(docs, labels)).where("kept").groupBy("doc_id").count().collect()
+    assert got.schema == docs.schema and got.exceptAll(docs).isEmpty()
+    assert {(r[0], r[1]) for r in got.groupBy("doc_id").count().collect()} == {(r[0], r[1]) for r in scores}
+    assert 0 < got.count() < docs.count() and cotraining.accepted(docs.limit(0), labels).count() == 0
+
+
+def test_packing_leaves_no_words_in_the_workers(spark, tmp_path):
+    """A Python worker outlives its stage: what it keeps stands beside what the next stages need."""
+    from tabloom.llm import encoding, packing
+    from tabloom.llm.queries import tokenizer
+
+    path = shutil.copy(tokenizer("byte_bpe_50k.json"), tmp_path)
+
+    def kept(batches):
+        for _ in batches:
+            own = encoding.encoder(path)
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(half) for x in (own.words, own.others, own.tails) for half in (x.young, x.old))])], ["n"])
+
+    assert packing.token_pieces(spark.read.parquet(f"{SF}/documents.parquet").repartition(8), path, end_id=0).count() >= 200
+    assert [r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(kept, "n bigint").collect()] == [0] * 8
+
+
 def test_co_training_beats_its_round_0():
     """Views that are independent given the label: the few labelled rows leave much to learn from the others."""
     rnd = np.random.default_rng(1)
